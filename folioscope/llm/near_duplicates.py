@@ -69,39 +69,50 @@ def shingle_sets(texts: list[str], width: int, least_words: int, words: _Words)
     return rows, shingles[new], np.bincount(owner[new], minlength=len(rows))
 
 
-def _prefix_keys(sets: np.ndarray, sizes: np.ndarray, groups: int, orders: int) -> np.ndarray:
+def _prefix_keys(sets: np.ndarray, sizes: np.ndarray, groups: int, orders: int, pool: int) -> np.ndarray:
     """One key a group: the first tokens of each set under the group's token orders, joined.
 
     An order ranks all tokens by a hash of its own, so it is global. Two sets
     have equal keys if they share the prefix token under every order of the
-    group: the intersection of the filters.
+    group: the intersection of the filters. Groups draw their orders from a
+    pool, which is ranked once.
     """
     starts = np.cumsum(sizes) - sizes
+    first = np.empty((pool, len(sizes)), np.uint64)
+    for o in range(pool):
+        ranks = sets * np.uint64((2 * o + 1) * 0xD6E8FEB86659FD93 % 2**64 | 1)
+        ranks ^= ranks >> np.uint64(31)
+        ranks *= _ODD[1]
+        first[o] = np.minimum.reduceat(ranks, starts)
+    rng = np.random.default_rng(5)
     keys = np.zeros((len(sizes), groups), np.uint64)
     for g in range(groups):
         key = np.full(len(sizes), g, np.uint64)
-        for o in range(orders):
-            factor = np.uint64((2 * (g * orders + o) + 1) * 0xD6E8FEB86659FD93 % 2**64 | 1)
-            ranks = sets * factor
-            ranks ^= ranks >> np.uint64(31)
-            ranks *= _ODD[1]
-            key = _mix(key ^ np.minimum.reduceat(ranks, starts))
+        for o in rng.choice(pool, orders, replace=False):
+            key = _mix(key ^ first[o])
         keys[:, g] = key
     return keys
 
 
-def _filter(batches: Iterator[pa.RecordBatch], width: int, least_words: int, groups: int, orders: int) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+def _classes(batches: Iterator[pa.RecordBatch], width: int, least_words: int, groups: int = 0, orders: int = 0, pool: int = 0) -> Iterator[pa.RecordBatch]:
+    """id and class of each row; with groups, instead class and keys, once for each class of a task."""
+    words, met = _Words(), set()
     for batch in batches:
-        ids = batch.column(0)
         rows, sets, sizes = shingle_sets(batch.column(1).to_pylist(), width, least_words, words)
         if not len(rows):
             continue
-        keys = _prefix_keys(sets, sizes, groups, orders)
         ends = np.cumsum(sizes)
-        same = [xxhash.xxh3_128_digest(sets[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)]
-        offsets = pa.array(np.arange(0, keys.size + 1, groups, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], ["id", "class", "keys"])
+        class_ = np.fromiter((xxhash.xxh3_64_intdigest(sets[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)), np.uint64, len(sizes)).view(np.int64)
+        if not groups:
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(class_)], ["id", "class"])
+            continue
+        if len(met) > _KEPT:
+            met.clear()
+        fresh = np.array([c not in met and not met.add(c) for c in class_.tolist()], bool)
+        sets, sizes, class_ = sets[np.repeat(fresh, sizes)], sizes[fresh], class_[fresh]
+        if len(sizes):
+            keys = _prefix_keys(sets, sizes, groups, orders, pool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(class_, groups)), pa.array(keys.ravel().view(np.int64))], ["class", "key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -123,31 +134,35 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good), pa.array(scores).take(good)], ["a", "b", "jaccard"])
 
 
-def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6, width: int = 3, least_words: int = 40, groups: int = 30, orders: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6, width: int = 3, least_words: int = 40, groups: int = 60, orders: int = 5, pool: int = 100) -> tuple[DataFrame, DataFrame]:
     """Members (id, head) of the classes of equal shingle sets, and links (a, b, jaccard) between heads a < b of at least ``threshold``.
 
     Method: multiple global orders. Every set is filtered by its prefix under
-    ``groups`` x ``orders`` global token orders; candidates share the prefix
-    token under all orders of at least one group, and are then verified on the
-    whole sets. A pair of similarity s is met with 1 - (1 - s^orders)^groups,
-    for 30 groups of 3 orders 0.9993 at 0.6 and 0.99999 at 0.7. Full-length
+    ``pool`` global token orders; candidates share the prefix token under all
+    ``orders`` orders of at least one of ``groups`` groups, and are then
+    verified on the whole sets. A pair of similarity s is met with nearly
+    1 - (1 - s^orders)^groups: 0.99 at 0.6, 0.9999 at 0.7. Full-length
     prefixes, which need no such chance, make posting lists that grow as the
     square of a corpus whose vocabulary is exhausted; figures in the README.
 
-    Equal sets are one class before the filter, however many copies there are,
-    so copies never meet in a group. Each key's rows are spread by the join, a
-    key is never collected. Null contents and those of fewer than
+    Equal sets are one class before the filter, however many copies there are:
+    a task emits a class's keys once, so copies never meet in a group. Each
+    key's rows are spread by the join, a key is never collected. Classes are
+    64-bit hashes of sets. Null contents and those of fewer than
     ``least_words`` words belong to no class. A row delivered twice counts once.
     """
     texts = rows.select("id", "content").where("id IS NOT NULL AND content IS NOT NULL")
-    filtered = materialize(texts.mapInArrow(lambda it: _filter(it, width, least_words, groups, orders), "id string, class binary, keys array<bigint>"), "filtered")
-    heads = filtered.groupBy("class").agg(F.min("id").alias("head"), F.first("keys").alias("keys"))
-    members = filtered.select("id", "class").join(heads.select("class", "head"), "class").select("id", "head").distinct()
     by = Window.partitionBy("key")
-    posted = heads.select("head", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(by)).where("n > 1").select("key", "head")
+    posted = texts.mapInArrow(lambda it: _classes(it, width, least_words, groups, orders, pool), "class bigint, key bigint")
+    posted = posted.withColumn("least", F.min("class").over(by)).withColumn("most", F.max("class").over(by)).where("least < most").select("key", "class").distinct()
     posted = materialize(posted, "posted")
-    pairs = posted.withColumnRenamed("head", "a").join(posted.withColumnRenamed("head", "b"), "key").where("a < b").select("a", "b").distinct()
-    pairs = materialize(pairs, "candidates")
+    classed = materialize(texts.mapInArrow(lambda it: _classes(it, width, least_words), "id string, class bigint"), "classed")
+    heads = classed.groupBy("class").agg(F.min("id").alias("head"))
+    members = classed.join(heads, "class").select("id", "head").distinct()
+    pairs = posted.withColumnRenamed("class", "a").join(posted.withColumnRenamed("class", "b"), "key").where("a < b").select("a", "b").distinct()
+    named = heads.join(posted.select("class").distinct(), "class")
+    pairs = pairs.join(named.select(F.col("class").alias("a"), F.col("head").alias("x")), "a").join(named.select(F.col("class").alias("b"), F.col("head").alias("y")), "b")
+    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "candidates")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: _sets(it, width), "id string, tokens binary")
     sets = materialize(sets, "sets")
