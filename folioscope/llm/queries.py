@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import encoding, lookalike, mixing, near_duplicates, neighbours, splitting
+from folioscope.llm import encoding, lookalike, mixing, near_duplicates, neighbours, scans, splitting
 from folioscope.sources.tables import table
 
 
@@ -39,6 +39,10 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("chunk_id"), F.col("group").alias("group_id"), "n_links")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.find_noise(table(spark, folder, "chunks"), table(spark, folder, "sources"))[0]
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents"))
 
@@ -59,7 +63,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_nearest, p4_found, p4_groups, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
 
 _WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
 
