@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import encoding, lookalike, mixing, near_duplicates, neighbours, scans, splitting
+from folioscope.llm import encoding, linkage, lookalike, mixing, near_duplicates, neighbours, scans, splitting
 from folioscope.sources.tables import table
 
 
@@ -19,6 +19,16 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(table(spark, folder, "chunks")).dropDuplicates(["chunk_id", "piece_no"])
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    links = linkage.link(table(spark, folder, "citations"), table(spark, folder, "papers"))
+    return links.where("p_id IS NOT NULL").select(F.col("c_id").alias("citation_id"), F.col("p_id").alias("s2_paper_id"))
+
+
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    links = linkage.link(table(spark, folder, "citations"), table(spark, folder, "papers"))
+    return links.select(F.col("c_id").alias("citation_id"), F.col("p_id").alias("s2_paper_id"), "confidence")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = neighbours.similar_pairs(table(spark, folder, "chunks"), 0.9)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -63,7 +73,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_links, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
 
 _WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
 
