@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,14 @@ _FROM = {o: [t for a, t in CONFUSIONS if a == o] for o, _ in CONFUSIONS}
 
 #: Hyphens at the end of a line that break a word, and what may stand between: ends of lines, a header and a page number.
 _HYPHENS = "-‐‑\xad¬"
+_BREAKS = frozenset(_HYPHENS)
 _BROKEN = re.compile(rf"([^\W\d_]+)[{_HYPHENS}][^\S\n]*$")
+_ENDS = tuple(f"{h}{e}" for h in _HYPHENS for e in ("\n", "\r", " \n"))
 _CONTINUED = re.compile(r"\s*([^\W\d_]+)")
 _NUMBER_LINE = re.compile(r"(?:[-–—·|\[]|p\.|page|pg\.?)?\s*([0-9OIlSBo]{1,5})\s*(?:[-–—·|\]])?", re.IGNORECASE)
 _MISREAD_DIGITS = str.maketrans("OoIlSBZ", "0011582")
 _MISREAD_NUMBER = re.compile(r"(?=[^A-Za-z]*[OoIlSBZ])(?=[OoIlSBZ.,%]*[0-9])(?:[0-9OoIlSBZ]+[.,])*[0-9OoIlSBZ]+%?")
+_MIXED = re.compile(r"[0-9][.,]?[OoIlSBZ]|[OoIlSBZ][.,]?[0-9]")
 _WORD = re.compile(r"[^\s\-‐‑–—/()\[\]{}\"“”,;:?]+")
 _EDGE = ".!?'’‘*"
 _CODE = re.compile(r"[_=<>\\(){}+]")
@@ -93,8 +96,12 @@ def header_text(line: str) -> str:
 
 
 def may_be_header(line: str) -> bool:
+    """Whether a line starts and ends as titles and names do."""
+    line = line.strip()
+    if not 3 <= len(line) <= 300 or line[-1] in ".,;:-" or line[0].islower():
+        return False
     text = header_text(line)
-    return 3 <= len(text) <= 300 and text[-1:] not in ".,;:-" and any(c.isalpha() for c in text)
+    return len(text) >= 3 and not text[0].islower() and any(c.isalpha() for c in text)
 
 
 def _folded(text: str) -> str:
@@ -107,6 +114,9 @@ def _near(a: str, b: str) -> bool:
     most = max(len(a), len(b)) // 10
     if a == b or abs(len(a) - len(b)) > most:
         return a == b
+    size, middle = min(6, len(b) // 2), len(b) // 2
+    if b[:size] not in a and b[-size:] not in a and b[middle : middle + size] not in a:
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -130,12 +140,15 @@ def header_forms(title: str | None, authors: list[str] | None) -> list[str]:
     return sorted({f for x in forms if x and len(f := _folded(x)) >= 4}, key=len, reverse=True)
 
 
+def _ends_broken(line: str) -> bool:
+    return line.rstrip()[-1:] in _BREAKS
+
+
 def _dehyphenated(lines: list[str], skip: set[int]) -> tuple[list[str], set[int]]:
     """Lines with broken words joined across ends of lines, headers, page numbers and blank lines; and the lines that ended in a break."""
     lines, broken = list(lines), set()
     for i in range(len(lines) - 1):
-        m = _BROKEN.search(lines[i])
-        if not m or i in skip:
+        if i in skip or not _ends_broken(lines[i]) or not (m := _BROKEN.search(lines[i])):
             continue
         j = i + 1
         while j < len(lines) and j - i <= 6 and (j in skip or not lines[j].strip()):
@@ -155,19 +168,23 @@ def _dehyphenated(lines: list[str], skip: set[int]) -> tuple[list[str], set[int]
     return lines, broken
 
 
-def _tokens(text: str) -> Iterator[str]:
-    for token in text.split():
-        if _CODE.search(token):
-            continue
-        for part in _WORD.findall(token):
-            if part := part.strip(_EDGE):
-                yield part
-
-
 def _lines(text: str) -> list[str]:
     return text.replace("\r\n", "\n").split("\n")
 
 
+class _Cached(dict):
+    """Results by word, counted anew when many have come together."""
+
+    def __init__(self, make: Callable[[str], str | None], most: int = 500_000) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> str | None:
+        if len(self) > self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What one pass over the chunks can tell: page numbers, lines that may be headers, ends of lines that may be breaks, misread numbers."""
     for batch in batches:
@@ -178,9 +195,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [("page_number", i, None) for i in pages]
             long = len(lines) > 1
             found += [("line", i, lines[i].strip()) for i in range(len(lines)) if i not in pages and long and may_be_header(lines[i])]
-            if any(h in text for h in _HYPHENS):
+            if any(h in text for h in _ENDS):
                 found += [("end", i, x) for i, x in _break_candidates(lines, pages)]
-            if any(is_misread_number(t) for t in _tokens(text)):
+            if _MIXED.search(text) and any(is_misread_number(w.strip(_EDGE)) for w in _WORD.findall(text)):
                 found.append(("misread", -1, None))
             for kind, i, x in found:
                 for name, value in zip(out, (key, source, kind, i, x), strict=True):
@@ -195,7 +212,7 @@ def _break_candidates(lines: list[str], pages: set[int]) -> list[tuple[int, str]
         return [(min(sure), "")]
     unsure = []
     for i in range(len(lines) - 2):
-        if i not in pages and _BROKEN.search(lines[i]):
+        if i not in pages and _ends_broken(lines[i]) and _BROKEN.search(lines[i]):
             between = {j for j in range(i + 1, min(i + 6, len(lines))) if j not in pages and may_be_header(lines[j])}
             for j in sorted(between):
                 if i in _dehyphenated(lines, pages | {j})[1]:
@@ -211,26 +228,34 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array([stroke_skeleton(f) for f in forms], pa.string()), pa.array([counts[f] for f in forms], pa.int64())], ["form", "skeleton", "n"])
 
     counts: Counter = Counter()
+    forms = _Cached(_form)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(_forms(text))
+            counts.update({forms[w] for w in _words(text)})
+        counts.pop(None, None)
         if len(counts) > 500_000:
             yield packed(counts)
             counts = Counter()
     yield packed(counts)
 
 
-def _forms(text: str) -> set[str]:
-    """Lower-cased words of at least three characters, broken ones joined."""
-    lines = [text]
-    if any(h in text for h in _HYPHENS):
+def _form(part: str) -> str | None:
+    """A word as it is counted; None for code, numbers and what is very short or long."""
+    form = part.strip(_EDGE).lower()
+    return None if _CODE.search(form) or not 3 <= len(form) <= 40 or form.replace(".", "").replace("%", "").isdigit() else form
+
+
+def _words(text: str) -> set[str]:
+    """Distinct words of a text, broken ones joined; halves that a header keeps apart are left out."""
+    if any(h in text for h in _ENDS):
         lines = _dehyphenated(_lines(text), set())[0]
         for i in range(len(lines)):
-            if m := _BROKEN.search(lines[i]):  # halves that a header keeps apart are no words
+            if _ends_broken(lines[i]) and (m := _BROKEN.search(lines[i])):
                 lines[i] = lines[i][: m.start()]
                 for j in range(i + 1, min(i + 5, len(lines))):
                     lines[j] = lines[j].lstrip().partition(" ")[2]
-    return {t.lower() for t in {t for line in lines for t in _tokens(line)} if 3 <= len(t) <= 40 and not t.replace(".", "").replace("%", "").isdigit()}
+        text = "\n".join(lines)
+    return set(_WORD.findall(text))
 
 
 def _judge(batches: Iterator[pa.RecordBatch], ratio: int) -> Iterator[pa.RecordBatch]:
@@ -266,20 +291,20 @@ def misread_forms(chunks: DataFrame, ratio: int = 8) -> DataFrame:
 
 
 def _suspects(batches: Iterator[pa.RecordBatch], sieve: np.ndarray, bits: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    known: dict[str, bool] = {}
+    def suspect(part: str) -> str | None:
+        if form := _form(part):
+            h = xxhash.xxh3_64_intdigest(form) % bits
+            return form if sieve[h >> 3] >> (h & 7) & 1 else None
+        return None
+
+    marked = _Cached(suspect)
     for batch in batches:
         keys, forms = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for form in _forms(text):
-                hit = known.get(form)
-                if hit is None:
-                    h = xxhash.xxh3_64_intdigest(form) % bits
-                    hit = known[form] = bool(sieve[h >> 3] >> (h & 7) & 1)
-                if hit:
+            for form in {marked[w] for w in _words(text)}:
+                if form:
                     keys.append(key)
                     forms.append(form)
-        if len(known) > 1_000_000:
-            known.clear()
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(forms, pa.string())], ["chunk_id", "form"])
 
 
@@ -327,7 +352,10 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     rows = chunks.where("id IS NOT NULL AND content IS NOT NULL").select("id", "source_id", "content", "page_start", "page_end")
     seen = materialize(rows.mapInArrow(_scan, "chunk_id string, source_id string, kind string, line_no int, line string").distinct(), "lines")
     about = sources.select(F.col("id").alias("source_id"), "title", "authors").dropDuplicates(["source_id"])
-    headers = materialize(seen.where("kind = 'line'").join(about, "source_id").mapInArrow(_headers, "chunk_id string, line_no int"), "headers")
+    # A source may hold a large part of all lines: they are spread over copies of its row.
+    spread = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    lines = seen.where("kind = 'line'").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(16)).cast("int"))
+    headers = materialize(lines.join(spread, ["source_id", "salt"]).mapInArrow(_headers, "chunk_id string, line_no int"), "headers")
     unsure = seen.where("kind = 'end' AND line = '?'").select("chunk_id", "line_no").join(headers, ["chunk_id", "line_no"], "left_semi")
     found = seen.where("kind IN ('page_number', 'misread')").select("chunk_id", F.col("kind").alias("noise"))
     found = found.unionByName(headers.select("chunk_id", F.lit("header").alias("noise")))
