@@ -53,6 +53,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.find_noise(table(spark, folder, "chunks"), table(spark, folder, "sources"))[0]
 
 
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repair(table(spark, folder, "chunks"), table(spark, folder, "sources"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(table(spark, folder, "documents"))
 
@@ -73,7 +77,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_links, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_links, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
 
 _WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
 

@@ -161,8 +161,7 @@ def _dehyphenated(lines: list[str], skip: set[int]) -> tuple[list[str], set[int]
         end = n.end()
         while end < len(lines[j]) and not lines[j][end].isspace():
             end += 1
-        hyphen = "-" if lines[i].rstrip()[-1] in "-‐‑" else ""
-        lines[i] = lines[i].rstrip()[:-1] + hyphen + lines[j][:end].lstrip()
+        lines[i] = lines[i].rstrip()[:-1] + lines[j][:end].lstrip()
         lines[j] = lines[j][end:].lstrip()
         broken.add(i)
     return lines, broken
@@ -275,8 +274,8 @@ def _judge(batches: Iterator[pa.RecordBatch], ratio: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string()), pa.array(right, pa.string())], ["form", "right"])
 
 
-def misread_forms(chunks: DataFrame, ratio: int = 8) -> DataFrame:
-    """form and ``right``: rare words and the frequent word that each was read from.
+def misread_forms(chunks: DataFrame, ratio: int = 8) -> tuple[DataFrame, DataFrame]:
+    """form and ``right``, rare words and the frequent word that each was read from; and the vocabulary (skeleton, form, n).
 
     Words are counted by chunks, grouped by stroke skeleton, and a form is
     misread if a word at least ``ratio`` times as frequent is at most two
@@ -286,8 +285,9 @@ def misread_forms(chunks: DataFrame, ratio: int = 8) -> DataFrame:
     """
     texts = chunks.where("content IS NOT NULL").select("content")
     counted = texts.mapInArrow(_vocabulary, "form string, skeleton string, n bigint").groupBy("skeleton", "form").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "vocabulary")
     grouped = counted.groupBy("skeleton").agg(F.collect_list(F.struct("form", "n")).alias("forms"), F.max("n").alias("most")).where((F.size("forms") > 1) & (F.col("most") >= 3))
-    return materialize(grouped.select("forms").mapInArrow(lambda it: _judge(it, ratio), "form string, right string"), "misread")
+    return materialize(grouped.select("forms").mapInArrow(lambda it: _judge(it, ratio), "form string, right string"), "misread"), counted
 
 
 def _suspects(batches: Iterator[pa.RecordBatch], sieve: np.ndarray, bits: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -332,8 +332,8 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(rows), batch.column("line_no").take(rows)], ["chunk_id", "line_no"])
 
 
-def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Noise of the chunks: (chunk_id, noise) rows; (chunk_id, line_no) of headers and page numbers; (chunk_id, form, right) of misread words.
+def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Noise of the chunks: (chunk_id, noise) rows; (chunk_id, line_no) of headers and page numbers; (chunk_id, form, right) of misread words; the vocabulary.
 
     hyphenation: a word or hyphenated compound broken over the end of a line or
     page, a header or page number between the halves included; not a hyphen
@@ -361,11 +361,89 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     found = found.unionByName(headers.select("chunk_id", F.lit("header").alias("noise")))
     found = found.unionByName(seen.where("kind = 'end' AND line = ''").select("chunk_id", F.lit("hyphenation").alias("noise")))
     found = found.unionByName(unsure.select("chunk_id", F.lit("hyphenation").alias("noise")))
-    forms = misread_forms(rows)
+    forms, vocabulary = misread_forms(rows)
     parts = forms.select("form").coalesce(4).mapInArrow(_sieve, "marks binary").collect()
     sieve = np.bitwise_or.reduce([np.frombuffer(p["marks"], np.uint8) for p in parts])
     suspects = rows.select("id", "content").mapInArrow(lambda it: _suspects(it, sieve), "chunk_id string, form string")
     misread = materialize(suspects.join(forms, "form").select("chunk_id", "form", "right").distinct(), "misread_at")
     found = found.unionByName(misread.select("chunk_id", F.lit("misread").alias("noise"))).distinct()
     dropped = seen.where("kind = 'page_number'").select("chunk_id", "line_no").unionByName(headers).distinct()
-    return found, dropped, misread
+    return found, dropped, misread, vocabulary
+
+
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their misread words and numbers put right."""
+    for batch in batches:
+        out = []
+        for line, fixes in zip(batch.column("line").to_pylist(), batch.column("fixes").to_pylist(), strict=True):
+            right = {f["form"]: f["right"] for f in fixes or []}
+
+            def put(m: re.Match, right: dict[str, str] = right) -> str:
+                word = m[0].strip(_EDGE)
+                if not word:
+                    return m[0]
+                if is_misread_number(word):
+                    return m[0].replace(word, word.translate(_MISREAD_DIGITS))
+                new = right.get(word.lower())
+                if new is None:
+                    return m[0]
+                letters = [c for c in word if c.isalpha()]
+                new = new.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else new.capitalize() if word[:1].isupper() else new
+                return m[0].replace(word, new)
+
+            out.append(_WORD.sub(put, line))
+        yield batch.drop_columns(["line", "fixes"]).append_column("line", pa.array(out, pa.string()))
+
+
+def repair(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """chunk_id and ``content``: noisy chunks as continuous paragraphs, all others unchanged.
+
+    Only noisy chunks are cut into lines. Headers and page numbers go, misread
+    words and numbers take their right form, and SQL windows reflow the rest:
+    within a chunk, ordered by line, a line ending in a hyphen is closed up with
+    the next (its hyphen stays unless the closed-up form is a word of the corpus,
+    as in "kernel-weighted"), lists, tables and code keep
+    their lines, other lines join up to the next blank one. A paragraph that a
+    page break cuts goes on if its line ended within a sentence.
+
+    Null and blank contents come out as they are; a row delivered twice comes
+    out once.
+    """
+    found, dropped, misread, vocabulary = find_noise(chunks, sources)
+    rows = chunks.where("id IS NOT NULL").select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
+    noisy = found.select("chunk_id").distinct()
+    joined = rows.join(noisy.withColumn("noisy", F.lit(True)), "chunk_id", "left")
+    clean = joined.where("noisy IS NULL").select("chunk_id", "content")
+    lines = joined.where("noisy").select("chunk_id", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("line_no", "line"))
+    gone = dropped.withColumn("gone", F.lit(True))
+    fixes = misread.groupBy("chunk_id").agg(F.collect_list(F.struct("form", "right")).alias("fixes"))
+    lines = lines.join(gone, ["chunk_id", "line_no"], "left").join(fixes, "chunk_id", "left")
+    order = Window.partitionBy("chunk_id").orderBy("line_no")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    kept = F.when(F.col("gone").isNull() & (F.trim("line") != ""), F.struct(F.col("line_no").alias("at"), F.rtrim("line").alias("text")))
+    # A word broken over the end of a line is closed up before its letters are compared with misread forms.
+    lines = lines.withColumn("before", F.last(kept, True).over(so_far)).withColumn("after", F.first(kept, True).over(later)).withColumn("page_break", F.coalesce(F.max(F.col("gone").cast("int")).over(order.rowsBetween(-2, -1)), F.lit(0)) == 1)
+    lines = lines.where(F.col("gone").isNull())
+    broken = f"[\\p{{L}}][{_HYPHENS}]$"
+    begins = F.regexp_extract("line", r"^\s*(\p{L}[^\s]*)", 1)
+    continues = F.col("before.text").rlike(broken) & (begins != "") & ~begins.rlike("^(and|or|to)$")
+    ends = F.rtrim("line").rlike(broken) & F.regexp_extract("after.text", r"^\s*(\p{L}[^\s]*)", 1).rlike(r"^\p{L}") & ~F.col("after.text").rlike(r"^\s*(and|or|to)\s")
+    structured = F.col("line").rlike(r"^\s*([-•*+]\s|\(?\d+[.)]\s|\[\d+\]|#|\||(def|class|return|import)\b|.*\t)|^\s{4,}|\s{3,}\S+\s{3,}")
+    next_half = F.regexp_extract("after.text", r"^\s*(\S+)", 1)
+    whole = F.lower(F.concat(F.regexp_extract(F.rtrim("line"), rf"(\p{{L}}+)[{_HYPHENS}]$", 1), F.regexp_extract(next_half, r"^(\p{L}+)", 1)))
+    lines = lines.withColumn("form", F.when(ends, whole)).join(vocabulary.select("form", F.lit(True).alias("word")), "form", "left")
+    hyphen = F.when(F.rtrim("line").rlike("[-‐‑]$") & F.col("word").isNull(), F.lit("-")).otherwise(F.lit(""))
+    lines = lines.withColumn("line", F.when(continues, F.regexp_replace("line", r"^\s*\S+\s*", "")).otherwise(F.col("line")))
+    lines = lines.withColumn("line", F.when(ends, F.concat(F.regexp_replace(F.rtrim("line"), f"[{_HYPHENS}]$", ""), hyphen, next_half)).otherwise(F.col("line")))
+    lines = lines.withColumn("blank", F.trim("line") == "").withColumn("structured", structured)
+    within = F.col("page_break") & F.col("before.text").isNotNull() & ~F.col("before.text").rlike(r"[.!?:][\"'”’)\]]*$")
+    last_blank = F.lag("blank", 1, True).over(order)
+    last_structured = F.lag("structured", 1, False).over(order)
+    starts = (last_blank & ~within) | F.col("structured") | last_structured
+    lines = lines.where(~(F.col("blank") & (F.col("page_break") | continues))).withColumn("starts", starts).withColumn("gap", last_blank & ~within)
+    lines = lines.select("chunk_id", "line_no", "blank", "starts", "gap", "line", "fixes").mapInArrow(_replaced, "chunk_id string, line_no int, blank boolean, starts boolean, gap boolean, line string")
+    parts = lines.where("NOT blank").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "starts", "gap", F.rtrim("line").alias("line")))).alias("parts"))
+    text = F.expr("aggregate(parts, '', (t, l) -> CASE WHEN t = '' THEN l.line WHEN l.gap THEN concat(t, '\n\n', l.line) WHEN l.starts THEN concat(t, '\n', l.line) ELSE concat(t, ' ', ltrim(l.line)) END)")
+    repaired = noisy.join(parts, "chunk_id", "left").select("chunk_id", F.coalesce(text, F.lit("")).alias("content"))
+    return clean.unionByName(repaired)
