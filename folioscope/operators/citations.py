@@ -56,7 +56,7 @@ def match_to_targets(citations: DataFrame, targets: DataFrame, threshold: float
     by_title = years.where("y IS NULL OR z IS NULL OR y = z").select(F.col("a").alias("id"), F.col("b").alias("target_id"), F.lit(2).alias("rank"), "similarity")
     found = by_id[0].unionByName(by_id[1]).unionByName(by_title)
     best = found.groupBy("id").agg(F.min(F.struct("rank", -F.col("similarity"), "target_id")).alias("b"))
-    method = F.element_at(F.array(F.lit("doi"), F.lit("arxiv"), F.lit("title")), F.col("b.rank") + 1)
+    method = F.when(F.col("b.target_id").isNotNull(), F.element_at(F.array(F.lit("doi"), F.lit("arxiv"), F.lit("title")), F.col("b.rank") + 1))
     return citations.select("id").join(best, "id", "left").select("id", F.col("b.target_id").alias("target_id"), method.alias("method"))
 
 

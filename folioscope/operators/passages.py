@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 #: Words whose full stop ends no sentence.
 NO_END = frozenset("Mr Mrs Ms Dr Prof Jr Sr vs etc al e.g i.e eg ie Fig Eq Ch Vol No Ref cf".split())
-#: Patterns of the chunk filter.
-REFERENCE = r"(?m)^[ \t\n\f\r]*\[?[0-9]+\]?[ \t\n\f\r]*[A-Z][a-z]+.*[0-9]{4}"
-TABLE_ROW = r"(?m)^[ \t\n\f\r0-9.,\-|]+$"
+#: Patterns of the chunk filter; (?d) lets only \n end a line.
+REFERENCE = r"(?dm)^[ \t\n\f\r]*\[?[0-9]+\]?[ \t\n\f\r]*[A-Z][a-z]+.*[0-9]{4}"
+TABLE_ROW = r"(?dm)^[ \t\n\f\r0-9.,\-|]+$"
 EQUATION = "[∑∏∫∂∇√∞≈≠≤≥∈∉⊂⊃∪∩]"
 GARBAGE = r"[^\x00-\x7F]{5,}|[!@#$%^&*]{3,}"
 
