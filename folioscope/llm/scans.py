@@ -41,7 +41,9 @@ _MISREAD_NUMBER = re.compile(r"(?=[^A-Za-z]*[OoIlSBZ])(?=[OoIlSBZ.,%]*[0-9])(?:[
 _MIXED = re.compile(r"[0-9][.,]?[OoIlSBZ]|[OoIlSBZ][.,]?[0-9]")
 _WORD = re.compile(r"[^\s\-‐‑–—/()\[\]{}\"“”,;:?]+")
 _EDGE = ".!?'’‘*"
-_CODE = re.compile(r"[_=<>\\(){}+]")
+#: Marks where a word was closed up; such words are no evidence for a form.
+_JOINT = "\x01"
+_CODE = re.compile(r"[_=<>\\(){}+\x01]")
 _CONTRACTED = re.compile(r".*['’](?:s|t|re|ve|m|ll|d)")
 
 FOUND = "chunk_id string, noise string"
@@ -130,14 +132,22 @@ def _near(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-def header_forms(title: str | None, authors: list[str] | None) -> list[str]:
-    """Folded forms a running header may have: the title, the title up to its colon, the authors' surnames."""
+def _letters(text: str) -> str:
+    return re.sub(r"[\W_]+", "", unicodedata.normalize("NFC", text).lower())
+
+
+def header_forms(title: str | None, authors: list[str] | None) -> dict[str, set[str]]:
+    """Forms a running header may have (the title, the title up to its colon, the authors' surnames): folded, with the letters of each."""
     forms = [title, title.split(":")[0]] if title else []
     names = [n.split(",")[0].strip() if "," in n else n.split()[-1] for n in authors or [] if n and n.strip()]
     if names:
         joined = [" and ".join(names), ", ".join(names), ", ".join(names[:-1]) + " and " + names[-1], f"{names[0]} et al."]
         forms += joined if len(names) > 1 else names
-    return sorted({f for x in forms if x and len(f := _folded(x)) >= 4}, key=len, reverse=True)
+    out: dict[str, set[str]] = {}
+    for x in forms:
+        if x and len(f := _folded(x)) >= 4:
+            out.setdefault(f, set()).add(_letters(x))
+    return out
 
 
 def _ends_broken(line: str) -> bool:
@@ -161,7 +171,7 @@ def _dehyphenated(lines: list[str], skip: set[int]) -> tuple[list[str], set[int]
         end = n.end()
         while end < len(lines[j]) and not lines[j][end].isspace():
             end += 1
-        lines[i] = lines[i].rstrip()[:-1] + lines[j][:end].lstrip()
+        lines[i] = lines[i].rstrip()[:-1] + _JOINT + lines[j][:end].lstrip()
         lines[j] = lines[j][end:].lstrip()
         broken.add(i)
     return lines, broken
@@ -301,7 +311,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], sieve: np.ndarray, bits: int =
     for batch in batches:
         keys, forms = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for form in {marked[w] for w in _words(text)}:
+            for form in {marked[w.replace(_JOINT, "")] for w in _words(text)}:
                 if form:
                     keys.append(key)
                     forms.append(form)
@@ -319,17 +329,19 @@ def _sieve(batches: Iterator[pa.RecordBatch], bits: int = 1 << 22) -> Iterator[p
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known: dict[tuple, list[str]] = {}
-        keep = []
+        known: dict[tuple, dict[str, set[str]]] = {}
+        keep, wrong = [], []
         for k, (line, title, authors) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("line", "title", "authors")), strict=True)):
             about = (title, tuple(authors or ()))
             if about not in known:
                 known[about] = header_forms(title, authors)
-            folded = _folded(header_text(line))
-            if folded and any(_near(folded, f) for f in known[about]):
+            text = header_text(line)
+            folded = _folded(text)
+            if folded and (met := [f for f in known[about] if _near(folded, f)]):
                 keep.append(k)
+                wrong.append(_letters(text) not in set().union(*(known[about][f] for f in met)))
         rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(rows), batch.column("line_no").take(rows)], ["chunk_id", "line_no"])
+        yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(rows), batch.column("line_no").take(rows), pa.array(wrong, pa.bool_())], ["chunk_id", "line_no", "wrong"])
 
 
 def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -339,7 +351,8 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     page, a header or page number between the halves included; not a hyphen
     that stands for a common ending ("pre- and post-treatment"). misread: a
     rare form whose stroke skeleton it shares with a frequent word (see
-    misread_forms), or a number holding letters for digits. header: a line that
+    misread_forms), a header that has other letters than the title or names it
+    repeats, or a number holding letters for digits. header: a line that
     repeats the source's title, whole or up to its colon, or its authors'
     surnames, in any case, with or without a page number; digits are masked
     and glyphs compared by strokes, so that a misread header is one too.
@@ -355,10 +368,12 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     # A source may hold a large part of all lines: they are spread over copies of its row.
     spread = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     lines = seen.where("kind = 'line'").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(16)).cast("int"))
-    headers = materialize(lines.join(spread, ["source_id", "salt"]).mapInArrow(_headers, "chunk_id string, line_no int"), "headers")
+    headers = materialize(lines.join(spread, ["source_id", "salt"]).mapInArrow(_headers, "chunk_id string, line_no int, wrong boolean"), "headers")
     unsure = seen.where("kind = 'end' AND line = '?'").select("chunk_id", "line_no").join(headers, ["chunk_id", "line_no"], "left_semi")
     found = seen.where("kind IN ('page_number', 'misread')").select("chunk_id", F.col("kind").alias("noise"))
     found = found.unionByName(headers.select("chunk_id", F.lit("header").alias("noise")))
+    found = found.unionByName(headers.where("wrong").select("chunk_id", F.lit("misread").alias("noise")))
+    headers = headers.select("chunk_id", "line_no")
     found = found.unionByName(seen.where("kind = 'end' AND line = ''").select("chunk_id", F.lit("hyphenation").alias("noise")))
     found = found.unionByName(unsure.select("chunk_id", F.lit("hyphenation").alias("noise")))
     forms, vocabulary = misread_forms(rows)
