@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.lineage import materialize
+
 #: Letters of other scripts and their Latin look-alikes.
 LOOKALIKES = {
     "Cyrillic": ("АВЕЗІЈКМНОРСТУХЅԚԜҮаеорсухіјѕԛԝһԁӏ", "ABE3IJKMHOPCTYXSQWYaeopcyxijsqwhdl"),
@@ -102,7 +104,8 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     pair with each other, but each pairs with all documents of the other
     spellings.
     """
-    rows = documents.select("doc_id", "text").mapInArrow(lambda it: _forms(it, False), "doc_id bigint, looks binary, exact binary").where("looks IS NOT NULL").distinct()
+    rows = documents.select("doc_id", "text").mapInArrow(lambda it: _forms(it, False), "doc_id bigint, looks binary, exact binary").where("looks IS NOT NULL")
+    rows = materialize(rows.distinct(), "looks")
     mixed = rows.groupBy("looks").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least <> most").select("looks")
     rows = rows.join(mixed, "looks", "left_semi")
     other = rows.select("looks", F.col("exact").alias("exact_b"), F.col("doc_id").alias("doc_id_b"))
