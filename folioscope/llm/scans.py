@@ -100,7 +100,7 @@ def header_text(line: str) -> str:
 def may_be_header(line: str) -> bool:
     """Whether a line starts and ends as titles and names do."""
     line = line.strip()
-    if not 3 <= len(line) <= 300 or line[-1] in ".,;:-" or line[0].islower():
+    if not 3 <= len(line) <= 300 or line[-1] in ".,;:-" and not line.lower().endswith("al.") or line[0].islower():
         return False
     text = header_text(line)
     return len(text) >= 3 and not text[0].islower() and any(c.isalpha() for c in text)

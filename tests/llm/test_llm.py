@@ -222,6 +222,8 @@ CASES = {
     "symbols": ("Let R2 and T1 denote x0.", set()),
     "title": ("THE ROLE OF BOOSTING IN PANELS: A STUDY OF EFFECTS\nThe sample stays.", {"header"}),
     "surnames": ("13  |  Sivobexi and Mirrzune\nThe sample stays.", {"header"}),
+    "et_al": ("13    SIVOBEXI ET AL.\nThe sample stays.", {"header"}),
+    "cited": ("The sample stays, after\nSivobexi et al. (1998).", set()),
     "misread_title": ("The role of boosfing in panels\nThe sample stays.", {"header", "misread"}),
     "page": ("The sample stays.\n- 13 -", {"page_number"}),
     "other_page": ("The sample stays.\n99", set()),
