@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.llm.near_duplicates import _mix
 from folioscope.operators.lineage import materialize
 
 #: What recognition writes, and what the page may have had instead.
@@ -240,7 +241,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forms = _Cached(_form)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update({forms[w] for w in _words(text)})
+            counts.update({forms[w] for w in set(_word_list(text))})
         counts.pop(None, None)
         if len(counts) > 500_000:
             yield packed(counts)
@@ -254,8 +255,8 @@ def _form(part: str) -> str | None:
     return None if _CODE.search(form) or not 3 <= len(form) <= 40 or form.replace(".", "").replace("%", "").isdigit() else form
 
 
-def _words(text: str) -> set[str]:
-    """Distinct words of a text, broken ones joined; halves that a header keeps apart are left out."""
+def _word_list(text: str) -> list[str]:
+    """The words of a text in order, broken ones joined; halves that a header keeps apart are left out."""
     if any(h in text for h in _ENDS):
         lines = _dehyphenated(_lines(text), set())[0]
         for i in range(len(lines)):
@@ -264,28 +265,29 @@ def _words(text: str) -> set[str]:
                 for j in range(i + 1, min(i + 5, len(lines))):
                     lines[j] = lines[j].lstrip().partition(" ")[2]
         text = "\n".join(lines)
-    return set(_WORD.findall(text))
+    return _WORD.findall(text)
 
 
 def _judge(batches: Iterator[pa.RecordBatch], ratio: int) -> Iterator[pa.RecordBatch]:
-    """Of each group of equal skeletons, rare forms and the frequent form they stand for."""
+    """Of each group of equal skeletons, rare forms and the frequent forms they may stand for, with the counts of these."""
     for batch in batches:
-        wrong, right = [], []
+        wrong, right, count = [], [], []
         for members in batch.column(0).to_pylist():
             counts = {m["form"]: m["n"] for m in members}
             most = max(counts.values())
             for form, n in counts.items():
                 if n * ratio > most or _CONTRACTED.fullmatch(form):
                     continue
-                options = [f for f in readings(form) & counts.keys() if counts[f] >= ratio * n and counts[f] >= 3 and f.isalpha()]
-                if options:
-                    wrong.append(form)
-                    right.append(max(options, key=lambda f: (counts[f], f)))
-        yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string()), pa.array(right, pa.string())], ["form", "right"])
+                for f in readings(form) & counts.keys():
+                    if counts[f] >= ratio * n and counts[f] >= 3 and f.isalpha():
+                        wrong.append(form)
+                        right.append(f)
+                        count.append(counts[f])
+        yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string()), pa.array(right, pa.string()), pa.array(count, pa.int64())], ["form", "right", "n"])
 
 
 def misread_forms(chunks: DataFrame, ratio: int = 8) -> tuple[DataFrame, DataFrame]:
-    """form and ``right``, rare words and the frequent word that each was read from; and the vocabulary (skeleton, form, n).
+    """form, right and n: rare words, the frequent words that each may have been read from and their counts; and the vocabulary (skeleton, form, n).
 
     Words are counted by chunks, grouped by stroke skeleton, and a form is
     misread if a word at least ``ratio`` times as frequent is at most two
@@ -297,34 +299,110 @@ def misread_forms(chunks: DataFrame, ratio: int = 8) -> tuple[DataFrame, DataFra
     counted = texts.mapInArrow(_vocabulary, "form string, skeleton string, n bigint").groupBy("skeleton", "form").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "vocabulary")
     grouped = counted.groupBy("skeleton").agg(F.collect_list(F.struct("form", "n")).alias("forms"), F.max("n").alias("most")).where((F.size("forms") > 1) & (F.col("most") >= 3))
-    return materialize(grouped.select("forms").mapInArrow(lambda it: _judge(it, ratio), "form string, right string"), "misread"), counted
+    return materialize(grouped.select("forms").mapInArrow(lambda it: _judge(it, ratio), "form string, right string, n bigint"), "misread"), counted
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], sieve: np.ndarray, bits: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+class _Sieve:
+    """A bitmap of fixed size (512 KB) over 64-bit hashes, for a first look; joins decide."""
+
+    bits = 1 << 22
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> np.ndarray:
+        """The bitmap of a column ``h``; few partitions send one each."""
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = np.zeros(cls.bits // 8, np.uint8)
+            for batch in batches:
+                at = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(cls.bits)
+                np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+
+        parts = rows.select("h").coalesce(4).mapInArrow(marked, "marks binary").collect()
+        return np.bitwise_or.reduce([np.zeros(cls.bits // 8, np.uint8), *(np.frombuffer(p["marks"], np.uint8) for p in parts)])
+
+    @classmethod
+    def hits(cls, marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes % np.uint64(cls.bits)
+        return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _hash(form: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(form) if form else 0
+
+
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words; 0 where one is none."""
+    return np.where((left == 0) | (right == 0), np.uint64(0), _mix(left * np.uint64(0x9E3779B97F4A7C15 | 1) ^ _mix(right)))
+
+
+def _hashed_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([_hash(f) for f in batch.column(0).to_pylist()], np.uint64).view(np.int64))], ["h"])
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """chunk_id, form and the words before and after it, of forms that pass the sieve."""
+
     def suspect(part: str) -> str | None:
-        if form := _form(part):
-            h = xxhash.xxh3_64_intdigest(form) % bits
-            return form if sieve[h >> 3] >> (h & 7) & 1 else None
-        return None
+        form = _form(part.replace(_JOINT, ""))
+        return form if form and _Sieve.hits(marks, np.array([_hash(form)], np.uint64))[0] else None
 
-    marked = _Cached(suspect)
+    marked, forms = _Cached(suspect), _Cached(lambda part: _form(part.replace(_JOINT, "")))
     for batch in batches:
-        keys, forms = [], []
+        out: list[tuple] = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for form in {marked[w.replace(_JOINT, "")] for w in _words(text)}:
-                if form:
-                    keys.append(key)
-                    forms.append(form)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(forms, pa.string())], ["chunk_id", "form"])
+            parts = _word_list(text)
+            if any(marked[w] for w in set(parts)):
+                own = [forms[w] for w in parts]
+                out += [(key, f, own[i - 1] if i else None, own[i + 1] if i + 1 < len(own) else None) for i, f in enumerate(own) if f and marked[parts[i]]]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["chunk_id", "form", "before", "after"])
 
 
-def _sieve(batches: Iterator[pa.RecordBatch], bits: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    marks = np.zeros(bits // 8, np.uint8)
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suspects with the hashes of four pairs: the right form with the words before and after it, then the form as it stands."""
     for batch in batches:
-        for form in batch.column(0).to_pylist():
-            h = xxhash.xxh3_64_intdigest(form) % bits
-            marks[h >> 3] |= 1 << (h & 7)
-    yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+        h = {c: np.array([_hash(f) for f in batch.column(c).to_pylist()], np.uint64) for c in ("form", "right", "before", "after")}
+        keys = np.stack([_pairs(h["before"], h["right"]), _pairs(h["right"], h["after"]), _pairs(h["before"], h["form"]), _pairs(h["form"], h["after"])], 1)
+        offsets = pa.array(np.arange(0, keys.size + 1, 4, dtype=np.int32))
+        yield batch.append_column("keys", pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))))
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often the pairs that pass the sieve occur in the texts."""
+    hashes = _Cached(lambda part: _hash(_form(part.replace(_JOINT, ""))))
+    for batch in batches:
+        parts: list[str] = []
+        for text in batch.column(0).to_pylist():
+            parts += _word_list(text)
+            parts.append("")
+        words = np.fromiter(map(hashes.__getitem__, parts), np.uint64, len(parts))
+        keys = _pairs(words[:-1], words[1:])
+        keys = keys[keys != 0]
+        keys, counts = np.unique(keys[_Sieve.hits(marks, keys)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+
+
+def misread_words(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """chunk_id, form and right of the misread words of chunks (id, content), as their context supports them.
+
+    Each place of a suspect form is asked how often the words beside it stand
+    next to the right form elsewhere, and how often next to the form itself. The
+    form stays where its own neighbours speak for it; of several right forms the
+    best supported, then the most frequent one is taken. Only suspects and
+    the counts of pairs that they ask for leave the pass over the texts.
+    """
+    marks = _Sieve.of(forms.select("form").distinct().mapInArrow(_hashed_forms, "h bigint"))
+    found = rows.select("id", "content").mapInArrow(lambda it: _suspects(it, marks), "chunk_id string, form string, before string, after string").distinct()
+    asked = found.join(forms, "form").select("chunk_id", "form", "before", "after", "right", "n").mapInArrow(_asked, "chunk_id string, form string, before string, after string, right string, n bigint, keys array<bigint>")
+    asked = materialize(asked, "suspects")
+    wanted = _Sieve.of(asked.select(F.explode("keys").alias("h")).where("h <> 0").distinct())
+    counts = rows.select("content").mapInArrow(lambda it: _pair_counts(it, wanted), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("met"))
+    met = asked.select("chunk_id", "form", "right", "n", F.posexplode("keys").alias("at", "key")).join(counts, "key", "left").fillna(0, ["met"])
+    by = met.groupBy("chunk_id", "form", "right", "n").agg(F.sum(F.when(F.col("at") < 2, F.col("met")).otherwise(0)).alias("right_met"), F.sum(F.when((F.col("at") >= 2) & (F.col("met") > 0), F.col("met") - 1).otherwise(0)).alias("form_met"))
+    best = Window.partitionBy("chunk_id", "form").orderBy(F.desc("right_met"), F.desc("n"), "right")
+    return by.where("right_met >= form_met").withColumn("at", F.row_number().over(best)).where(F.col("at") == 1).select("chunk_id", "form", "right")
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +428,8 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     hyphenation: a word or hyphenated compound broken over the end of a line or
     page, a header or page number between the halves included; not a hyphen
     that stands for a common ending ("pre- and post-treatment"). misread: a
-    rare form whose stroke skeleton it shares with a frequent word (see
-    misread_forms), a header that has other letters than the title or names it
+    rare form whose stroke skeleton it shares with a frequent word that its
+    context supports (see misread_forms, misread_words), a header that has other letters than the title or names it
     repeats, or a number holding letters for digits. header: a line that
     repeats the source's title, whole or up to its colon, or its authors'
     surnames, in any case, with or without a page number; digits are masked
@@ -377,10 +455,7 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     found = found.unionByName(seen.where("kind = 'end' AND line = ''").select("chunk_id", F.lit("hyphenation").alias("noise")))
     found = found.unionByName(unsure.select("chunk_id", F.lit("hyphenation").alias("noise")))
     forms, vocabulary = misread_forms(rows)
-    parts = forms.select("form").coalesce(4).mapInArrow(_sieve, "marks binary").collect()
-    sieve = np.bitwise_or.reduce([np.frombuffer(p["marks"], np.uint8) for p in parts])
-    suspects = rows.select("id", "content").mapInArrow(lambda it: _suspects(it, sieve), "chunk_id string, form string")
-    misread = materialize(suspects.join(forms, "form").select("chunk_id", "form", "right").distinct(), "misread_at")
+    misread = materialize(misread_words(rows, forms), "misread_at")
     found = found.unionByName(misread.select("chunk_id", F.lit("misread").alias("noise"))).distinct()
     dropped = seen.where("kind = 'page_number'").select("chunk_id", "line_no").unionByName(headers).distinct()
     return found, dropped, misread, vocabulary
