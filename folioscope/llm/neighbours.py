@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_KEYED = "curve int, place bigint, id string, vector array<float>"
-_FOUND = "id string, other string, cosine double"
+_KEYED = "curve int, place bigint, h bigint, vector array<float>"
+_FOUND = "h bigint, other bigint, cosine double"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -68,18 +68,18 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, curves: int, axes: int,
             # Coordinates have mean 0 and variance about 1: cells cover -2 to 2, the shift moves their borders.
             at = (unit @ projections[curve] + shifts[curve] + 2) * (2**bits / 4)
             place = hilbert_keys(np.clip(at, 0, 2**bits - 1).astype(np.int64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), curve, np.int32)), pa.array(place), ids, lists], ["curve", "place", "id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), curve, np.int32)), pa.array(place), ids, lists], ["curve", "place", "h", "vector"])
 
 
 def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, least: float, block: int) -> Iterator[pa.RecordBatch]:
     """The best k of each row among the ``reach`` rows before and after it on its curve.
 
-    A block of rows meets itself and the rows before it; both sides of a pair
-    gain from it, so what is kept for a row is merged over two neighbouring
-    blocks. Memory holds one block and one reach.
+    A block of rows meets the ``reach`` rows before it, itself and the block
+    after it, so a row's best of both sides come out at once. Memory holds two
+    blocks and one reach.
     """
 
-    def best(ids_a: np.ndarray, ids_b: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def best(cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells with the best k of each row of cos, at least ``least``."""
         if least > -1:
             r, c = np.nonzero(cos >= least)
@@ -100,55 +100,62 @@ def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, le
         good = cos[r2, c2] >= max(least, -1.5)
         return np.concatenate([r, r2[good]]), np.concatenate([c, c2[good]])
 
-    def meet(old: tuple, new: tuple) -> Iterator[pa.RecordBatch]:
-        out = []
-        for a, b in ((new, new), (new, old), (old, new)):
-            if not len(a[0]) or not len(b[0]):
-                continue
-            cos = a[1] @ b[1].T
-            if a is b:
-                np.fill_diagonal(cos, -2)
-            r, c = best(a[0], b[0], cos)
-            out.append((a[0][r], b[0][c], np.einsum("ij,ij->i", a[2][r], b[2][c])))
-        if out and sum(len(x[0]) for x in out):
-            a, b, cos = (np.concatenate([x[j] for x in out]) for j in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(cos)], ["id", "other", "cosine"])
+    def meet(old: tuple, mine: tuple, new: tuple) -> Iterator[pa.RecordBatch]:
+        """The best of the rows ``mine`` among those before, between and after."""
+        ids, light, exact = (np.concatenate([o[-reach:], m, n[:reach]]) for o, m, n in zip(old, mine, new, strict=True))
+        cos = mine[1] @ light.T
+        at = np.arange(len(mine[0]))
+        cos[at, at + min(reach, len(old[0]))] = -2
+        r, c = best(cos)
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(mine[0][r]), pa.array(ids[c]), pa.array(np.einsum("ij,ij->i", mine[2][r], exact[c]))], ["h", "other", "cosine"])
 
     def rows_of(ids: list, vectors: list) -> tuple:
         plain = np.concatenate(vectors).astype(np.float64)
         exact = plain / np.sqrt(np.einsum("ij,ij->i", plain, plain))[:, None]
-        return np.array(ids, object), exact.astype(np.float32), exact
-
-    none = (np.empty(0, object), np.empty((0, size), np.float32), np.empty((0, size)))
-    old, ids, vectors, curve, last = none, [], [], None, None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal old, ids, vectors
-        if ids:
-            new = rows_of(ids, vectors)
-            yield from meet(old, new)
-            old = tuple(np.concatenate([o, n])[-reach:] for o, n in zip(old, new, strict=True))
-            ids, vectors = [], []
+        return np.concatenate(ids), exact.astype(np.float32), exact
+
+    none = (np.empty(0, np.int64), np.empty((0, size), np.float32), np.empty((0, size)))
+    old, mine, ids, vectors, count, curve, last = none, none, [], [], 0, None, None
+
+    def flush(end: bool = False) -> Iterator[pa.RecordBatch]:
+        """The rows that have come together follow the block at hand, which can now be settled; at the end both can."""
+        nonlocal old, mine, ids, vectors, count
+        new = rows_of(ids, vectors) if count else none
+        if len(mine[0]):
+            yield from meet(old, mine, new)
+            old = tuple(np.concatenate([o, m])[-reach:] for o, m in zip(old, mine, strict=True))
+        mine, ids, vectors, count = new, [], [], 0
+        if end:
+            if len(mine[0]):
+                yield from meet(old, mine, none)
+            old = mine = none
 
     for batch in batches:
         curves = np.asarray(batch.column(0))
-        names = batch.column(1).to_pylist()
+        names = np.asarray(batch.column(1))
+        if not len(names):
+            continue
         flat = np.asarray(batch.column(2).flatten(), np.float32).reshape(-1, size)
-        fresh = np.array([i == 0 and (names[0] != last or curves[0] != curve) or i > 0 and (names[i] != names[i - 1] or curves[i] != curves[i - 1]) for i in range(len(names))], bool)
+        fresh = np.ones(len(names), bool)
+        fresh[1:] = (names[1:] != names[:-1]) | (curves[1:] != curves[:-1])
+        fresh[0] = (curves[0], names[0]) != last
         bounds = [0, *(np.flatnonzero(np.diff(curves)) + 1), len(names)]
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):
             if curves[start] != curve:
-                yield from flush()
-                old, curve = none, curves[start]
+                yield from flush(True)
+                curve = curves[start]
             for i in range(start, end, block):
                 take = np.arange(i, min(i + block, end))
                 take = take[fresh[take]]
-                ids += [names[j] for j in take]
-                vectors.append(flat[take])
-                if len(ids) >= block:
+                if len(take):
+                    ids.append(names[take])
+                    vectors.append(flat[take])
+                    count += len(take)
+                if count >= block:
                     yield from flush()
-        last = names[-1] if names else last
-    yield from flush()
+        last = (curves[-1], names[-1])
+    yield from flush(True)
 
 
 def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 64, curves: int = 6, axes: int = 12, bits: int = 5, reach: int = 512, seed: int = 7) -> DataFrame:
@@ -167,20 +174,24 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
     curves, whose borders lie elsewhere.
 
     Rows with a null, wrongly sized, all-zero or non-finite vector, or a null
-    id, are left out. A row delivered twice counts once. Ties break by id.
+    id, are left out. A row delivered twice counts once. On the way rows go by a
+    64-bit hash of their id, which also breaks ties.
     Needs ``id`` (string) and ``embedding``; other columns are not carried.
     """
     if axes * bits > 63:
         raise ValueError("axes * bits must be at most 63")
     spark = rows.sparkSession
-    vectors = rows.select(F.col("id"), F.col("embedding")).where("id IS NOT NULL AND embedding IS NOT NULL")
+    known = rows.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding", F.xxhash64("id").alias("h"))
+    vectors = known.select("h", "embedding")
     keyed = vectors.mapInArrow(lambda it: _keys(it, size, curves, axes, bits, seed), _KEYED)
     parts = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    placed = keyed.repartitionByRange(parts, "curve", "place", "id").sortWithinPartitions("curve", "place", "id").select("curve", "id", "vector")
-    met = placed.mapInArrow(lambda it: _window(it, size, k, reach, min_cosine - 1e-6 if min_cosine > -1 else -1.5, 512), _FOUND)
-    met = met.where((F.col("cosine") >= min_cosine) & (F.col("id") != F.col("other"))).groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
-    by = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    placed = keyed.repartitionByRange(parts, "curve", "place", "h").sortWithinPartitions("curve", "place", "h").select("curve", "h", "vector")
+    met = placed.mapInArrow(lambda it: _window(it, size, k, reach, min_cosine - 1e-6 if min_cosine > -1 else -1.5, max(512, reach)), _FOUND)
+    met = met.where((F.col("cosine") >= min_cosine) & (F.col("h") != F.col("other"))).groupBy("h", "other").agg(F.max("cosine").alias("cosine"))
+    by = Window.partitionBy("h").orderBy(F.desc("cosine"), "other")
+    best = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    names = known.select("h", "id").distinct()
+    return best.join(names, "h").join(names.select(F.col("h").alias("other"), F.col("id").alias("name")), "other").select("id", F.col("name").alias("other"), "cosine", "rank")
 
 
 def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, **options: int) -> DataFrame:
