@@ -74,9 +74,9 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, curves: int, axes: int,
 def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, least: float, block: int) -> Iterator[pa.RecordBatch]:
     """The best k of each row among the ``reach`` rows before and after it on its curve.
 
-    A block of rows meets the ``reach`` rows before it, itself and the block
-    after it, so a row's best of both sides come out at once. Memory holds two
-    blocks and one reach.
+    A block of rows waits until ``reach`` rows have come after it, then meets
+    those, itself and the ``reach`` rows before it, so a row's best of both
+    sides come out at once. Memory holds about two reaches.
     """
 
     def best(cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,15 +100,17 @@ def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, le
         good = cos[r2, c2] >= max(least, -1.5)
         return np.concatenate([r, r2[good]]), np.concatenate([c, c2[good]])
 
-    def meet(old: tuple, mine: tuple, new: tuple) -> Iterator[pa.RecordBatch]:
-        """The best of the rows ``mine`` among those before, between and after."""
-        ids, light, exact = (np.concatenate([o[-reach:], m, n[:reach]]) for o, m, n in zip(old, mine, new, strict=True))
-        cos = mine[1] @ light.T
-        at = np.arange(len(mine[0]))
-        cos[at, at + min(reach, len(old[0]))] = -2
+    def meet(held: tuple, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        """The best of the held rows from start to end among those within reach."""
+        low = max(0, start - reach)
+        ids, light, exact = (x[low : end + reach] for x in held)
+        cos = light[start - low : end - low] @ light.T
+        at = np.arange(end - start)
+        cos[at, at + start - low] = -2
         r, c = best(cos)
         if len(r):
-            yield pa.RecordBatch.from_arrays([pa.array(mine[0][r]), pa.array(ids[c]), pa.array(np.einsum("ij,ij->i", mine[2][r], exact[c]))], ["h", "other", "cosine"])
+            mine = r + start - low
+            yield pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.array(ids[c]), pa.array(np.einsum("ij,ij->i", exact[mine], exact[c]))], ["h", "other", "cosine"])
 
     def rows_of(ids: list, vectors: list) -> tuple:
         plain = np.concatenate(vectors).astype(np.float64)
@@ -116,20 +118,23 @@ def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, le
         return np.concatenate(ids), exact.astype(np.float32), exact
 
     none = (np.empty(0, np.int64), np.empty((0, size), np.float32), np.empty((0, size)))
-    old, mine, ids, vectors, count, curve, last = none, none, [], [], 0, None, None
+    held, done, ids, vectors, count, curve, last = none, 0, [], [], 0, None, None
 
     def flush(end: bool = False) -> Iterator[pa.RecordBatch]:
-        """The rows that have come together follow the block at hand, which can now be settled; at the end both can."""
-        nonlocal old, mine, ids, vectors, count
-        new = rows_of(ids, vectors) if count else none
-        if len(mine[0]):
-            yield from meet(old, mine, new)
-            old = tuple(np.concatenate([o, m])[-reach:] for o, m in zip(old, mine, strict=True))
-        mine, ids, vectors, count = new, [], [], 0
+        """Hold the rows that have come together and settle those that have all their neighbours; at the end of a curve all have."""
+        nonlocal held, done, ids, vectors, count
+        if count:
+            held = tuple(np.concatenate([h, n]) for h, n in zip(held, rows_of(ids, vectors), strict=True))
+            ids, vectors, count = [], [], 0
+        ready = len(held[0]) if end else len(held[0]) - reach
+        while done < ready and (end or ready - done >= block):
+            step = min(block, ready - done)
+            yield from meet(held, done, done + step)
+            done += step
         if end:
-            if len(mine[0]):
-                yield from meet(old, mine, none)
-            old = mine = none
+            held, done = none, 0
+        elif done > reach:
+            held, done = tuple(h[done - reach :] for h in held), reach
 
     for batch in batches:
         curves = np.asarray(batch.column(0))
@@ -152,13 +157,13 @@ def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, le
                     ids.append(names[take])
                     vectors.append(flat[take])
                     count += len(take)
-                if count >= block:
+                if count >= max(block, reach // 2):
                     yield from flush()
         last = (curves[-1], names[-1])
     yield from flush(True)
 
 
-def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 64, curves: int = 6, axes: int = 12, bits: int = 5, reach: int = 512, seed: int = 7) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 64, curves: int = 6, axes: int = 12, bits: int = 5, reach: int = 10_240, seed: int = 7) -> DataFrame:
     """id, other, cosine and rank of the k rows most similar to each row, as far as the curves show them.
 
     Method: shifted space-filling curves. Each of ``curves`` random projections
@@ -186,7 +191,7 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
     keyed = vectors.mapInArrow(lambda it: _keys(it, size, curves, axes, bits, seed), _KEYED)
     parts = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     placed = keyed.repartitionByRange(parts, "curve", "place", "h").sortWithinPartitions("curve", "place", "h").select("curve", "h", "vector")
-    met = placed.mapInArrow(lambda it: _window(it, size, k, reach, min_cosine - 1e-6 if min_cosine > -1 else -1.5, max(512, reach)), _FOUND)
+    met = placed.mapInArrow(lambda it: _window(it, size, k, reach, min_cosine - 1e-6 if min_cosine > -1 else -1.5, 512), _FOUND)
     met = met.where((F.col("cosine") >= min_cosine) & (F.col("h") != F.col("other"))).groupBy("h", "other").agg(F.max("cosine").alias("cosine"))
     by = Window.partitionBy("h").orderBy(F.desc("cosine"), "other")
     best = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
@@ -194,7 +199,7 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
     return best.join(names, "h").join(names.select(F.col("h").alias("other"), F.col("id").alias("name")), "other").select("id", F.col("name").alias("other"), "cosine", "rank")
 
 
-def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, **options: int) -> DataFrame:
-    """Pairs id_a < id_b with a cosine of at least ``min_cosine``, where one is among the k nearest of the other."""
-    found = nearest(rows, k, min_cosine, **options)
+def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, reach: int = 512, **options: int) -> DataFrame:
+    """Pairs id_a < id_b with a cosine of at least ``min_cosine``, where one is among the k nearest of the other. Near vectors lie close on the curves, so a smaller ``reach`` than for all nearest finds them."""
+    found = nearest(rows, k, min_cosine, reach=reach, **options)
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
