@@ -241,7 +241,11 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forms = _Cached(_form)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update({forms[w] for w in set(_word_list(text))})
+            words = set(_word_list(text))
+            counts.update({forms[w] for w in words})
+            for w in words:
+                if _JOINT in w and (form := _form(w.replace(_JOINT, ""))):
+                    counts.setdefault(form, 0)  # to be judged, but no evidence for itself
         counts.pop(None, None)
         if len(counts) > 500_000:
             yield packed(counts)
@@ -522,7 +526,7 @@ def repair(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     structured = F.col("line").rlike(r"^\s*([-•*+]\s|\(?\d+[.)]\s|\[\d+\]|#|\||(def|class|return|import)\b|.*\t)|^\s{4,}|\s{3,}\S+\s{3,}")
     next_half = F.regexp_extract("after.text", r"^\s*(\S+)", 1)
     whole = F.lower(F.concat(F.regexp_extract(F.rtrim("line"), rf"(\p{{L}}+)[{_HYPHENS}]$", 1), F.regexp_extract(next_half, r"^(\p{L}+)", 1)))
-    lines = lines.withColumn("form", F.when(ends, whole)).join(vocabulary.select("form", F.lit(True).alias("word")), "form", "left")
+    lines = lines.withColumn("form", F.when(ends, whole)).join(vocabulary.where("n > 0").select("form", F.lit(True).alias("word")), "form", "left")
     hyphen = F.when(F.rtrim("line").rlike("[-‐‑]$") & F.col("word").isNull(), F.lit("-")).otherwise(F.lit(""))
     lines = lines.withColumn("line", F.when(continues, F.regexp_replace("line", r"^\s*\S+\s*", "")).otherwise(F.col("line")))
     lines = lines.withColumn("line", F.when(ends, F.concat(F.regexp_replace(F.rtrim("line"), f"[{_HYPHENS}]$", ""), hyphen, next_half)).otherwise(F.col("line")))

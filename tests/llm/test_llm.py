@@ -216,6 +216,7 @@ CASES = {
     "compound": ("We use kernel-\nweighted sums.", {"hyphenation"}),
     "suspended": ("The pre-\nand post-treatment outcome.", set()),
     "formula": ("y = a + b x - \nc z", set()),
+    "broken_misread": ("The esti-\nrnator explains the outcome.", {"hyphenation", "misread"}),
     "across": ("The esti-\n\nThe role of boosting in panels    12\n\nmator explains.", {"hyphenation", "header"}),
     "misread": ("The estirnator explains the 0utcome.", {"misread"}),
     "number": ("It appeared in 2O15 with R2 and L1 norms.", {"misread"}),
