@@ -93,11 +93,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     share = materialize(share, "shares")
     ids = materialize(ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))), "nodes")
     scores = ids.select("id", (F.lit(1.0) / F.col("n")).alias("score"))
+    cut = None
     for k in range(1, iterations + 1):
         moved = share.join(scores.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("moved"))
         scores = ids.join(moved.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.lit(1 - damping) / F.col("n") + damping * F.coalesce("moved", F.lit(0.0))).alias("score"))
         if k % cut_every == 0 or k == iterations:
-            scores = materialize(scores, "scores")
+            scores = cut = materialize(scores, "scores", cut)
     most = scores.agg(F.max("score").alias("most"))
     return scores.crossJoin(F.broadcast(most)).select("id", F.coalesce(F.try_divide("score", "most"), F.lit(0.0)).alias("authority"))
 

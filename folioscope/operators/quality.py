@@ -62,9 +62,11 @@ def form_pairs(concepts: DataFrame, form: Column) -> DataFrame:
 def resolved_chains(pairs: DataFrame) -> DataFrame:
     """old and new with every chain (a to b, b to c) followed to its end; the steps double each round. A circle ends at its least id."""
     mapping = materialize(pairs.where("gone <> keep").groupBy(F.col("gone").alias("old")).agg(F.min("keep").alias("new")), "mapping")
+    written = mapping
     while True:
         far = mapping.select(F.col("old").alias("new"), F.col("new").alias("far"))
-        step = materialize(mapping.join(far, "new", "left").select("old", F.when(F.col("far") == F.col("old"), F.least("old", "new")).otherwise(F.coalesce("far", "new")).alias("new"), F.col("new").alias("was")), "mapping")
+        step = materialize(mapping.join(far, "new", "left").select("old", F.when(F.col("far") == F.col("old"), F.least("old", "new")).otherwise(F.coalesce("far", "new")).alias("new"), F.col("new").alias("was")), "mapping", written)
+        written = step
         mapping = step.select("old", "new")
         if not step.where("new <> was").limit(1).count():
             return mapping.where("old <> new")
