@@ -71,6 +71,27 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, curves: int, axes: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), curve, np.int32)), pa.array(place), ids, lists], ["curve", "place", "h", "vector"])
 
 
+def _top(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values of each row, in any order.
+
+    The k largest lie in the k strides with the largest maxima, so only those are searched.
+    """
+    rows, width = values.shape
+    if width <= k:
+        return np.tile(np.arange(width), (rows, 1))
+    strides = 32
+    each = width // strides
+    if each <= 4 * k:
+        return np.argpartition(-values, k - 1, 1)[:, :k]
+    most = values[:, : each * strides].reshape(rows, strides, each).max(1)
+    near = np.argpartition(-most, k - 1, 1)[:, :k]
+    places = (near[:, :, None] + np.arange(strides) * each).reshape(rows, -1)
+    rest = np.broadcast_to(np.arange(each * strides, width), (rows, width - each * strides))
+    places = np.concatenate([places, rest], 1)
+    best = np.argpartition(-np.take_along_axis(values, places, 1), k - 1, 1)[:, :k]
+    return np.take_along_axis(places, best, 1)
+
+
 def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, least: float, block: int) -> Iterator[pa.RecordBatch]:
     """The best k of each row among the ``reach`` rows before and after it on its curve.
 
@@ -94,8 +115,8 @@ def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, le
             r, c = r[keep], c[keep]
         else:
             rows, r, c = np.arange(len(cos)), np.empty(0, np.int64), np.empty(0, np.int64)
-        part = cos[rows]
-        top = np.argpartition(-part, min(k, part.shape[1]) - 1, 1)[:, :k] if part.shape[1] > k else np.tile(np.arange(part.shape[1]), (len(rows), 1))
+        part = cos if len(rows) == len(cos) else cos[rows]
+        top = _top(part, k)
         r2, c2 = np.repeat(rows, top.shape[1]), top.ravel()
         good = cos[r2, c2] >= max(least, -1.5)
         return np.concatenate([r, r2[good]]), np.concatenate([c, c2[good]])

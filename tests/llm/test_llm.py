@@ -132,6 +132,13 @@ def test_hilbert_neighbours_are_one_step_apart() -> None:
     assert (np.abs(np.diff(grid[np.argsort(places)], axis=0)).sum(1) == 1).all()
 
 
+@pytest.mark.parametrize("width", [3, 5, 6, 700, 1000, 4099])
+def test_top_places(width: int) -> None:
+    values = np.random.default_rng(width).standard_normal((40, width)).astype(np.float32)
+    got = np.sort(np.take_along_axis(values, neighbours._top(values, 5), 1), 1)
+    assert np.array_equal(got, np.sort(values, 1)[:, -5:])
+
+
 def test_pairs_match_brute_force(spark: SparkSession) -> None:
     rng = np.random.default_rng(1)
     base = rng.standard_normal((300, 64))
