@@ -15,7 +15,8 @@ def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered:
 
     Exact by prefix filtering: a pair shares one of the rarest trigrams of
     each, so only those prefixes are joined, and sets of too different size are
-    left out before they are compared. ``ordered`` keeps a < b of a self-join.
+    left out before they are compared, as are those whose shared prefix and rest
+    can't reach the threshold. ``ordered`` keeps a < b of a self-join.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -30,16 +31,23 @@ def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered:
         each = rows.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(grams, "g")
         by = Window.partitionBy("id").orderBy("df", "g")
         rank = each.withColumn("at", F.row_number().over(by)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        return rank.select("g", F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
+        return rank.select("g", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("at").alias(f"at_{name}"))
 
     met = prefix(a, "a").join(prefix(b, "b"), "g").where((F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9))
     if ordered:
         met = met.where("a < b")
-    pairs = met.select("a", "b").distinct()
-    both = pairs.join(a.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(b.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    pairs = _still_possible(met, threshold)
+    both = pairs.select("a", "b").join(a.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(b.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
+def _still_possible(met: DataFrame, threshold: float) -> DataFrame:
+    """Distinct a, b, n_a and n_b of matches in prefixes (at_a, at_b are places in the global order), of which what matched and what follows the last match can reach the threshold."""
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("k"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    most = F.col("k") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))
+    return pairs.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b", "n_a", "n_b")
+
+
 def match_to_targets(citations: DataFrame, targets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """id, target_id and method of each citation: by DOI, then by arXiv id, then by trigram similarity of titles where the years agree or one is unknown.
 
@@ -117,8 +125,8 @@ def coupling(references: DataFrame, least: float = 0.1) -> DataFrame:
     ranked = refs.join(df, "cited").withColumn("at", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("citing")))
     ranked = materialize(ranked, "references")
     prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & (F.col("df") > 1))
-    x, y = (prefix.select("cited", F.col("citing").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
-    pairs = x.join(y, "cited").where("a < b").where((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b", "n_a", "n_b").distinct()
+    x, y = (prefix.select("cited", F.col("citing").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}")) for c in ("a", "b"))
+    pairs = _still_possible(x.join(y, "cited").where("a < b").where((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))), least)
     sets = ranked.groupBy("citing").agg(F.collect_set("cited").alias("works"))
     both = pairs.join(sets.select(F.col("citing").alias("a"), F.col("works").alias("x")), "a").join(sets.select(F.col("citing").alias("b"), F.col("works").alias("y")), "b")
     shared = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"))
