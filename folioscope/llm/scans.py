@@ -74,8 +74,8 @@ def readings(word: str, depth: int = 2) -> set[str]:
 
 
 def is_misread_number(token: str) -> bool:
-    """A number in which letters stand for digits; a symbol such as R2 or O is none."""
-    return len(token) > 1 and bool(_MISREAD_NUMBER.fullmatch(token)) and sum(c.isdigit() for c in token) >= sum(c.isalpha() for c in token) and not (len(token) == 2 and token[0].isalpha())
+    """A number in which letters stand for digits; a symbol such as R2, 2B or O is none."""
+    return len(token) > 1 and bool(_MISREAD_NUMBER.fullmatch(token)) and sum(c.isdigit() for c in token) >= sum(c.isalpha() for c in token) and not (len(token) == 2 and (token[0].isalpha() or token[1] in "BSZI"))
 
 
 def is_page_number(line: str, start: int | None, end: int | None) -> bool:
