@@ -313,7 +313,7 @@ class _Sieve:
 
     @classmethod
     def of(cls, rows: DataFrame) -> np.ndarray:
-        """The bitmap of a column ``h``; few partitions send one each."""
+        """The bitmap of a column ``h``: one of each partition, joined in four tasks before they come to the driver."""
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = np.zeros(cls.bits // 8, np.uint8)
@@ -322,8 +322,15 @@ class _Sieve:
                 np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
 
-        parts = rows.select("h").coalesce(4).mapInArrow(marked, "marks binary").collect()
-        return np.bitwise_or.reduce([np.zeros(cls.bits // 8, np.uint8), *(np.frombuffer(p["marks"], np.uint8) for p in parts)])
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = np.zeros(cls.bits // 8, np.uint8)
+            for batch in batches:
+                for part in batch.column(0):
+                    marks |= np.frombuffer(part.as_buffer(), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+
+        parts = rows.select("h").mapInArrow(marked, "marks binary").repartition(4).mapInArrow(joined, "marks binary").collect()
+        return np.bitwise_or.reduce([np.frombuffer(p["marks"], np.uint8) for p in parts])
 
     @classmethod
     def hits(cls, marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -397,11 +404,11 @@ def misread_words(rows: DataFrame, forms: DataFrame) -> DataFrame:
     best supported, then the most frequent one is taken. Only suspects and
     the counts of pairs that they ask for leave the pass over the texts.
     """
-    marks = _Sieve.of(forms.select("form").distinct().mapInArrow(_hashed_forms, "h bigint"))
+    marks = _Sieve.of(forms.select("form").mapInArrow(_hashed_forms, "h bigint"))
     found = rows.select("id", "content").mapInArrow(lambda it: _suspects(it, marks), "chunk_id string, form string, before string, after string").distinct()
     asked = found.join(forms, "form").select("chunk_id", "form", "before", "after", "right", "n").mapInArrow(_asked, "chunk_id string, form string, before string, after string, right string, n bigint, keys array<bigint>")
     asked = materialize(asked, "suspects")
-    wanted = _Sieve.of(asked.select(F.explode("keys").alias("h")).where("h <> 0").distinct())
+    wanted = _Sieve.of(asked.select(F.explode("keys").alias("h")).where("h <> 0"))
     counts = rows.select("content").mapInArrow(lambda it: _pair_counts(it, wanted), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("met"))
     met = asked.select("chunk_id", "form", "right", "n", F.posexplode("keys").alias("at", "key")).join(counts, "key", "left").fillna(0, ["met"])
     by = met.groupBy("chunk_id", "form", "right", "n").agg(F.sum(F.when(F.col("at") < 2, F.col("met")).otherwise(0)).alias("right_met"), F.sum(F.when((F.col("at") >= 2) & (F.col("met") > 0), F.col("met") - 1).otherwise(0)).alias("form_met"))
