@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import graphs, linking, retrieval, upkeep, works
+from folioscope.plans import graphs, intake, linking, retrieval, upkeep, works
 
-_MODULES = (retrieval, graphs, works, linking, upkeep)
+_MODULES = (retrieval, graphs, works, linking, intake, upkeep)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
