@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from folioscope.functions.text import match_normal, tokens
 from folioscope.functions.vectors import cosine, half_similarity, is_sound
+from folioscope.operators.lineage import materialize
 
 #: Weights of text and vector for each use of a search.
 CONTEXT_WEIGHTS = {"building": (0.2, 0.8), "auditing": (0.5, 0.5), "balanced": (0.3, 0.7)}
@@ -117,7 +118,9 @@ def search_hybrid(chunks: DataFrame, sources: DataFrame, query: SearchQuery) ->
 
 def _hybrid_rows(chunks: DataFrame, sources: DataFrame, query: SearchQuery) -> DataFrame:
     rows = vector_scores(text_scores(_of_domain(chunks, query), query.text or ""), query.embedding or [])
-    rows = min_max(rows.select("id", "source_id", "text_score", "vector_score"), {"text_score": "__t", "vector_score": "__v"})
+    # Both ranges and the fusion need the scores of all rows: they are computed once, the texts are not read again.
+    rows = materialize(rows.select("id", "source_id", "text_score", "vector_score"), "scores")
+    rows = min_max(rows, {"text_score": "__t", "vector_score": "__v"})
     weights = {k: v for k, v in query.active().items() if k in ("text", "vector")}
     total = sum(weights.values())
     rows = rows.withColumn("combined_score", (weights.get("text", 0.0) * F.col("__t") + weights.get("vector", 0.0) * F.col("__v")) / total).drop("__t", "__v")
