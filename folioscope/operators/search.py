@@ -216,7 +216,7 @@ def with_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     q = queries.withColumn("__n", match_normal("query"))
     s = synonyms.select(match_normal("term").alias("__t"), "synonyms")
     hit = (F.col("__n") == F.col("__t")) | F.array_contains(F.split("__n", " "), F.col("__t")) | F.contains(F.col("__n"), F.col("__t"))
-    met = q.join(F.broadcast(s), hit & (F.col("__t") != ""), "left").select("query", "__n", F.explode_outer("synonyms").alias("__s"))
+    met = q.join(s, hit & (F.col("__t") != ""), "left").select("query", "__n", F.explode_outer("synonyms").alias("__s"))
     fresh = F.when(~F.contains(F.lower("query"), F.lower("__s")), F.lower("__s"))
     return met.groupBy("query").agg(F.sort_array(F.collect_set(fresh)).alias("expansions"))
 
