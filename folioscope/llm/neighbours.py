@@ -1,4 +1,4 @@
-"""Problem 3: nearest vectors through shifted Hilbert curves."""
+"""Problem 3: nearest vectors, of all rows or through shifted Hilbert curves."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioscope.operators.lineage import materialize
+
 _KEYED = "curve int, place bigint, h bigint, vector array<float>"
 _FOUND = "h bigint, other bigint, cosine double"
 
@@ -184,19 +186,100 @@ def _window(batches: Iterator[pa.RecordBatch], size: int, k: int, reach: int, le
     yield from flush(True)
 
 
-def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 64, curves: int = 6, axes: int = 12, bits: int = 5, reach: int = 10_240, seed: int = 7) -> DataFrame:
-    """id, other, cosine and rank of the k rows most similar to each row, as far as the curves show them.
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Sound rows in blocks of up to ``most``: hashes of ids and vectors, each as bytes."""
+    ids, vectors = np.empty(0, np.int64), np.empty((0, size), np.float32)
+    names = ["ids", "vectors"]
+    for batch in batches:
+        rows, found = _sound(batch.column(1), size)
+        ids, vectors = np.concatenate([ids, np.asarray(batch.column(0))[rows]]), np.concatenate([vectors, found])
+        while len(ids) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[:most].tobytes()]), pa.array([vectors[:most].tobytes()])], names)
+            ids, vectors = ids[most:], vectors[most:]
+    if len(ids):
+        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], names)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], size: int, k: int, least: float, tile: int = 512) -> Iterator[pa.RecordBatch]:
+    """The best k of each row of the asking blocks among the blocks that they meet in this task.
+
+    Single precision tells which cells may be among a row's best so far, double precision decides.
+    """
+    held: dict[bytes, tuple] = {}
+
+    def unit(flat: bytes) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.frombuffer(flat, np.float32).reshape(-1, size).astype(np.float64)
+        exact = plain / np.sqrt(np.einsum("ij,ij->i", plain, plain))[:, None]
+        return exact.astype(np.float32), exact
+
+    for batch in batches:
+        for q_ids, q_vectors, x_ids, x_vectors in zip(*(batch.column(i) for i in range(4)), strict=True):
+            key = q_ids.as_py()
+            if key not in held:
+                n = len(key) // 8
+                held[key] = (np.frombuffer(key, np.int64), *unit(q_vectors.as_py()), np.full((n, k), -2.0), np.zeros((n, k), np.int64))
+            ids, light, exact, best, other = held[key]
+            names, (x_light, x_exact) = np.frombuffer(x_ids.as_py(), np.int64), unit(x_vectors.as_py())
+            for at in range(0, len(ids), tile):
+                cos = light[at : at + tile] @ x_light.T
+                floor = np.maximum(best[at : at + tile, -1], least) - 1e-5
+                hit = cos >= floor.astype(np.float32)[:, None]
+                crowded = np.flatnonzero(hit.sum(1) > 4 * (k + 9))
+                hit[crowded] = False
+                r, c = np.nonzero(hit)
+                if len(crowded):
+                    top = _top(cos[crowded], k + 9)
+                    r, c = np.concatenate([r, np.repeat(crowded, top.shape[1])]), np.concatenate([c, top.ravel()])
+                r = r + at
+                apart = ids[r] != names[c]
+                r, c = r[apart], c[apart]
+                if not len(r):
+                    continue
+                rows = np.unique(r)
+                value = np.concatenate([np.einsum("ij,ij->i", exact[r], x_exact[c]), best[rows].ravel()])
+                name, r = np.concatenate([names[c], other[rows].ravel()]), np.concatenate([r, np.repeat(rows, k)])
+                order = np.lexsort((name, -value, r))
+                value, name, r = value[order], name[order], r[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                keep = place < k
+                best[r[keep], place[keep]], other[r[keep], place[keep]] = value[keep], name[keep]
+    for ids, _, _, best, other in held.values():
+        r, c = np.nonzero(best >= max(least, -1.5))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(other[r, c]), pa.array(best[r, c])], ["h", "other", "cosine"])
+
+
+def _exhaustive(vectors: DataFrame, size: int, k: int, least: float, asking: int = 4096, asked: int = 160_000) -> DataFrame:
+    """h, other and cosine of the best k of each row among all rows, for each ``asked`` rows once.
+
+    Each task holds about ``asking`` rows with their best so far while blocks of ``asked`` rows pass.
+    """
+    sound = f"size(embedding) = {size} AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)"
+    table = materialize(vectors.where(sound).groupBy("h").agg(F.min("embedding").alias("embedding")), "vectors")
+    n = table.count()
+    kind = "ids binary, vectors binary"
+    left = table.repartition(max(1, -(-n // asking))).mapInArrow(lambda it: _blocks(it, size, 2 * asking), kind)
+    right = table.repartition(max(1, -(-n // asked))).mapInArrow(lambda it: _blocks(it, size, 8192), kind)
+    right = materialize(right, "blocks").toDF("x_ids", "x_vectors")
+    return left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(lambda it: _compared(it, size, k, least), _FOUND)
+
+
+def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 64, curves: int = 6, axes: int = 12, bits: int = 5, reach: int | None = None, seed: int = 7) -> DataFrame:
+    """id, other, cosine and rank of the k rows most similar to each row: of all rows, or with a ``reach`` as far as the curves show them.
+
+    Without a reach every row is compared with every other, in blocks, so the
+    result is exact and the work grows as the square of the rows. Unrelated
+    vectors have their nearest almost at random, and no window of a fixed size
+    finds them; figures are in the README.
 
-    Method: shifted space-filling curves. Each of ``curves`` random projections
+    With a reach the method is shifted space-filling curves. Each of ``curves`` random projections
     to ``axes`` coordinates, with its own shift, puts all rows on one Hilbert
     curve; the curves are range-partitioned in one exchange and sorted, and
     each row is compared with the ``reach`` rows before and after it. The k
     best of all windows remain, with exact cosines. ``min_cosine`` is pushed
     into the windows: pairs below it are never emitted.
 
-    Recall falls with the angle: near copies are next to each other on nearly
-    every curve, the nearest of unrelated vectors often are not; figures are in
-    the README. Rows at the border of two range partitions meet on other
+    Recall of the curves falls with the angle: near copies are next to each other on nearly
+    every curve, the nearest of unrelated vectors often are not. Rows at the border of two range partitions meet on other
     curves, whose borders lie elsewhere.
 
     Rows with a null, wrongly sized, all-zero or non-finite vector, or a null
@@ -209,10 +292,14 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
     spark = rows.sparkSession
     known = rows.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding", F.xxhash64("id").alias("h"))
     vectors = known.select("h", "embedding")
-    keyed = vectors.mapInArrow(lambda it: _keys(it, size, curves, axes, bits, seed), _KEYED)
-    parts = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    placed = keyed.repartitionByRange(parts, "curve", "place", "h").sortWithinPartitions("curve", "place", "h").select("curve", "h", "vector")
-    met = placed.mapInArrow(lambda it: _window(it, size, k, reach, min_cosine - 1e-6 if min_cosine > -1 else -1.5, 512), _FOUND)
+    least = min_cosine - 1e-6 if min_cosine > -1 else -1.5
+    if reach is None:
+        met = _exhaustive(vectors, size, k, least)
+    else:
+        keyed = vectors.mapInArrow(lambda it: _keys(it, size, curves, axes, bits, seed), _KEYED)
+        parts = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        placed = keyed.repartitionByRange(parts, "curve", "place", "h").sortWithinPartitions("curve", "place", "h").select("curve", "h", "vector")
+        met = placed.mapInArrow(lambda it: _window(it, size, k, reach, least, 512), _FOUND)
     met = met.where((F.col("cosine") >= min_cosine) & (F.col("h") != F.col("other"))).groupBy("h", "other").agg(F.max("cosine").alias("cosine"))
     by = Window.partitionBy("h").orderBy(F.desc("cosine"), "other")
     best = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import encoding, linkage, lookalike, mixing, near_duplicates, neighbours, queries, scans, splitting
+from folioscope.operators.search import batch_vector_search
 from tests.oracle import DATA, compare
 
 FILE = Path(encoding.TOKENIZERS) / "byte_bpe_50k.json"
@@ -170,6 +172,17 @@ def test_many_equal_vectors(spark: SparkSession) -> None:
     assert found.where("abs(cosine - 1) > 1e-9 OR id = other").count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 40_000])
+def test_nearest_of_unrelated_vectors_are_whole(spark: SparkSession, n: int) -> None:
+    vectors = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, 64, dtype=np.int32)), pa.array(vectors.ravel()))
+    rows = spark.createDataFrame(pa.table({"id": pa.array(np.arange(n)), "embedding": lists}))
+    want = {(r.query_id, r.id, r["rank"]) for r in batch_vector_search(rows, rows.where("id % 100 = 0"), 5).collect()}
+    found = neighbours.nearest(rows.withColumn("id", F.col("id").cast("string")))
+    got = {(int(r.id), int(r.other), r["rank"]) for r in found.where("cast(id AS int) % 100 = 0").collect()}
+    assert len(want) == n // 20 and got == want
+
+
 # Problem 4
 
 
