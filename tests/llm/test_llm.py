@@ -212,6 +212,19 @@ def test_near_duplicates_match_brute_force(spark: SparkSession) -> None:
     assert near_duplicates.near_duplicate_pairs(table.limit(0)).count() == 0
 
 
+def test_pairs_near_the_threshold_are_met(spark: SparkSession) -> None:
+    """1,500 pairs of similarity 69 / 113 = 0.61, of texts that share nothing else."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        own = [f"w{rng.getrandbits(40):x}" for _ in range(93)]
+        other = own[:71] + [f"w{rng.getrandbits(40):x}" for _ in range(22)]
+        rows += [{"id": f"a{i:04}", "content": " ".join(own)}, {"id": f"b{i:04}", "content": " ".join(other)}]
+    assert 0.6 < jaccard(rows[0]["content"], rows[1]["content"]) < 0.62
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(chunks(spark, rows)).collect()}
+    assert got == {(f"a{i:04}", f"b{i:04}") for i in range(1500)}
+
+
 def test_a_chain_is_one_group(spark: SparkSession) -> None:
     base = [f"w{i}" for i in range(300)]
     rows = [{"id": f"{k:02}", "content": " ".join(base[8 * k : 8 * k + 60])} for k in range(30)]
