@@ -82,8 +82,20 @@ def chosen_papers(citations: DataFrame, papers: DataFrame, least: float = 0.8) -
 
 
 def best_names(expected: DataFrame, returned: DataFrame, least: float = 0.7) -> DataFrame:
-    """expected, name and score of the returned name most like an expected one (group, expected, aliases; returned group, name), if at least ``least``."""
-    forms = expected.select("group", "expected", F.explode(F.concat(F.array("expected"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
-    scored = forms.join(returned, "group").select("group", "expected", "name", fuzzy_score(F.col("form"), F.col("name")).alias("score"))
+    """expected, name and score of the returned name most like an expected one (group, expected, aliases; returned group, name), if at least ``least``.
+
+    Equal names are joined as such and settle what they meet, as nothing scores
+    higher. The rest meets all names of its group whose length allows ``least``
+    or that may hold one another; a key of shared letter triples would lose
+    pairs, as a ratio of 0.7 needs no triple in common.
+    """
+    folded = lambda c: F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
+    forms = expected.select("group", "expected", F.explode(F.concat(F.array("expected"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).distinct().withColumn("x", folded(F.col("form")))
+    names = returned.select("group", "name").distinct().withColumn("y", folded(F.col("name")))
+    equal = forms.join(names.withColumnRenamed("y", "x"), ["group", "x"]).where(F.lower(F.trim("form")) == F.lower(F.trim("name"))).select("group", "expected", "name", F.lit(1.0).alias("score"))
+    n, m = F.length("x"), F.length("y")
+    possible = (2 * F.least(n, m) >= least * (n + m) - 1e-9) | F.contains("x", "y") | F.contains("y", "x")
+    rest = forms.join(equal.select("group", "expected").distinct(), ["group", "expected"], "left_anti").join(names, "group").where(possible)
+    scored = equal.unionByName(rest.select("group", "expected", "name", fuzzy_score(F.col("form"), F.col("name")).alias("score")))
     best = scored.groupBy("group", "expected").agg(F.max(F.struct("score", "name")).alias("b")).where(F.col("b.score") >= least)
     return best.select("group", "expected", "b.name", "b.score")

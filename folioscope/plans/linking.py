@@ -22,9 +22,9 @@ def chosen_papers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_names(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part").where("p_partkey % 40 = 0")
+    p = table(spark, folder, "part")
     expected = p.select(F.col("p_brand").alias("group"), F.upper("p_name").alias("expected"), F.array("p_type").alias("aliases"))
-    return N.best_names(expected.distinct(), table(spark, folder, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("name")).distinct()).withColumn("score", F.round("score", 6))
+    return N.best_names(expected.distinct(), p.select(F.col("p_brand").alias("group"), F.col("p_name").alias("name")).distinct()).withColumn("score", F.round("score", 6))
 
 
 def chunks_to_process(spark: SparkSession, folder: str) -> DataFrame:

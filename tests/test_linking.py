@@ -14,6 +14,8 @@ from folioscope.operators import audit, enrichment, extraction, quality, search,
 from folioscope.operators.services import Corpus, clamped
 from folioscope.plans import catalog
 from folioscope.sources import exports
+from folioscope.sources.tables import table
+from tests.oracle import DATA
 
 PAPER = "id string, title string, authors array<string>, year int, venue string, doi string, arxiv_id string, citation_count int"
 
@@ -148,3 +150,19 @@ def test_the_core_needs_no_training_operators(tmp_path: Path) -> None:
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) == len(catalog.QUERIES)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_best_names_of_all_parts(spark: SparkSession) -> None:
+    parts = table(spark, str(DATA), "part").select("p_brand", F.upper("p_name").alias("n")).distinct()
+    found = catalog.QUERIES["best_names"](spark, str(DATA))
+    assert {(r.group, r.expected) for r in found.collect()} == {tuple(r) for r in parts.collect()}
+
+
+def test_best_names_match_brute_force(spark: SparkSession) -> None:
+    expected = spark.createDataFrame([("g", "Random Forest", ["RF", None]), ("g", "Lasso", None), ("g", "xabcd", None), ("g", "", []), ("h", " LASSO", None), ("h", "Instrumental", ["iv method"]), ("i", "a-b-c-d-e", None)], "group string, expected string, aliases array<string>")
+    returned = spark.createDataFrame([("g", "random forests"), ("g", "rf"), ("g", " lasso "), ("g", "a random"), ("g", "abcdy"), ("g", None), ("h", "lass"), ("h", "the iv methods of all"), ("h", "instrument"), ("i", "a+b+c+d+e"), ("i", "a-b")], "group string, name string")
+    forms = expected.select("group", "expected", F.explode(F.concat(F.array("expected"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
+    scored = forms.join(returned, "group").select("group", "expected", "name", enrichment.fuzzy_score(F.col("form"), F.col("name")).alias("score"))
+    best = scored.groupBy("group", "expected").agg(F.max(F.struct("score", "name")).alias("b")).where("b.score >= 0.5").select("group", "expected", "b.name", "b.score")
+    assert {tuple(r) for r in enrichment.best_names(expected, returned, 0.5).collect()} == {tuple(r) for r in best.collect()}
