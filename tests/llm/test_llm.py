@@ -124,6 +124,19 @@ def test_crowded_attributes_are_refined(spark: SparkSession) -> None:
     assert all(r.p_id == r.c_id.replace("c", "p") for r in got)
 
 
+def test_titles_and_years_meet_where_surnames_fail(spark: SparkSession) -> None:
+    kind = "id string, title string, authors array<string>, year int, doi string"
+    long = "Regional auctions lagged tariffs mobile networks sparse kernels robust panels hidden markets"
+    papers = [("p1", "Sparse trials and robust boosting for rare events", ["Sivobexi, Z.", "Fennithzune, E."], 2001, None), ("p2", long, ["Zemanobrin, V.", "Mirrzune, A."], 2010, None), ("p3", "Lagged tariffs", ["Ulmarimmel, Y.", "Draedrith, O."], 1999, None)]
+    cited = [
+        ("c1", papers[0][1], ["Sivobxei, Z.", "Fenithzune, E."], 2001, None),
+        ("c2", "Regoinal auctoins laged tarifs moblie netwroks sparse kernels robust panels hidden markets", ["Zemnobrin, V.", "Mirzune, A."], 2010, None),
+        ("c3", "Laged tarrifs", ["Ulmarimmel, Y.", "Dreadrith, O."], 1999, None),
+    ]
+    got = {r.c_id: r.p_id for r in linkage.link(spark.createDataFrame(cited, kind), spark.createDataFrame(papers, kind.replace("id ", "s2_paper_id ", 1))).collect()}
+    assert got == {"c1": "p1", "c2": "p2", "c3": "p3"}
+
+
 # Problem 3
 
 
