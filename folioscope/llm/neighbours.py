@@ -307,7 +307,10 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
     return best.join(names, "h").join(names.select(F.col("h").alias("other"), F.col("id").alias("name")), "other").select("id", F.col("name").alias("other"), "cosine", "rank")
 
 
-def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, reach: int = 512, **options: int) -> DataFrame:
-    """Pairs id_a < id_b with a cosine of at least ``min_cosine``, where one is among the k nearest of the other. Near vectors lie close on the curves, so a smaller ``reach`` than for all nearest finds them."""
+def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, reach: int | None = None, **options: int) -> DataFrame:
+    """Pairs id_a < id_b with a cosine of at least ``min_cosine``, where one is among the k nearest of the other; of all rows, unless a ``reach`` is given.
+
+    Windows of the curves lose neighbours in crowds of nearly equal vectors and at the borders of partitions.
+    """
     found = nearest(rows, k, min_cosine, reach=reach, **options)
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

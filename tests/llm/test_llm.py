@@ -196,6 +196,20 @@ def test_nearest_of_unrelated_vectors_are_whole(spark: SparkSession, n: int) ->
     assert len(want) == n // 20 and got == want
 
 
+def test_pairs_in_a_crowd_of_near_copies(spark: SparkSession) -> None:
+    """6,000 slightly different copies of one vector, whose five nearest are all in the crowd."""
+    rng = np.random.default_rng(9)
+    vectors = (rng.standard_normal(64) + 0.02 * rng.standard_normal((6000, 64))).astype(np.float32)
+    rows = spark.createDataFrame([(f"{i:05}", v.tolist()) for i, v in enumerate(vectors)], "id string, embedding array<float>")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    want = set()
+    for i in range(len(unit)):
+        cos = unit @ unit[i]
+        cos[i] = -2
+        want |= {(f"{min(i, j):05}", f"{max(i, j):05}") for j in np.argpartition(-cos, 4)[:5]}
+    assert {tuple(r) for r in neighbours.similar_pairs(rows).collect()} == want
+
+
 # Problem 4
 
 
