@@ -137,6 +137,27 @@ def test_titles_and_years_meet_where_surnames_fail(spark: SparkSession) -> None:
     assert got == {"c1": "p1", "c2": "p2", "c3": "p3"}
 
 
+@pytest.mark.parametrize("n", [150, 250])
+def test_no_link_hangs_on_the_number_of_like_titles(spark: SparkSession, n: int) -> None:
+    """Papers share the start of their titles; citations have the title, a surname with a letter missing, and no year."""
+    kind = "id string, title string, authors array<string>, year int, doi string"
+    name = lambda i: "".join(chr(97 + (i * k + i // 26) % 26) for k in (1, 3, 7, 11, 5, 9, 2, 4))
+    papers = [(f"p{i:03}", f"Robust estimation of lagged {words(2, i)}", [f"{name(i).title()}, B."], 2000, None) for i in range(n)]
+    cited = [(p[0].replace("p", "c"), p[1], [p[2][0][:3] + p[2][0][4:]], None, None) for p in papers]
+    got = linkage.link(spark.createDataFrame(cited, kind), spark.createDataFrame(papers, kind.replace("id ", "s2_paper_id ", 1))).collect()
+    assert all(r.p_id == r.c_id.replace("c", "p") for r in got) and len(got) == n
+
+
+def test_late_names_and_words_count(spark: SparkSession) -> None:
+    """A paper of twenty authors, cited by the last two of them and the last words of its title, or by another decade."""
+    kind = "id string, title string, authors array<string>, year int, doi string"
+    names = [f"{words(1, i).title()}, A." for i in range(20)]
+    papers = [("p1", words(14, 7), names, 2004, None), ("p2", words(14, 8), ["Иванова, О."], 2001, None)]
+    cited = [("c1", " ".join(words(14, 7).split()[3:]), names[18:], 2004, None), ("c2", words(14, 8), ["Иванова, О."], 1991, None)]
+    got = {r.c_id: r.p_id for r in linkage.link(spark.createDataFrame(cited, kind), spark.createDataFrame(papers, kind.replace("id ", "s2_paper_id ", 1))).collect()}
+    assert got == {"c1": "p1", "c2": "p2"}
+
+
 # Problem 3
 
 
