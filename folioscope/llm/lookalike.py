@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.lineage import materialize
 
-#: Letters of other scripts and their Latin look-alikes.
+#: Letters and marks that look like others, script by script, each with the character that it looks like.
 LOOKALIKES = {
-    "Cyrillic": ("АВЕЗІЈКМНОРСТУХЅԚԜҮаеорсухіјѕԛԝһԁӏ", "ABE3IJKMHOPCTYXSQWYaeopcyxijsqwhdl"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ", "ABEZHIKMNOPTYXCjoc"),
-    "Latin": ("ıɑɡ", "iag"),
-    "Hyphens": ("‐‑", "--"),
-    "Apostrophes": ("ʼ", "’"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυϒϱϲϳϹϺϷϸ", "ABEZHIKMNOPTYXayiĸvopuYpcjCMÞþ"),
+    "Cyrillic": ("АВГЕЅІЈКМНОПРСТУФХЬѴӀҮԌԚԜаеѕіјкорсуфхѵһӏүԁԍԛԝ", "ABΓESIJKMHOΠPCTYΦXbVIYGQWaesijĸopcyφxvhlydgqw"),
+    "Armenian": ("ՍՏՕհյոռսցօքզ։", "USOhjnnugofq:"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏚᏙᏒᏟᏢᏦᏧᏞᏴ", "DRTiyAJEWMHYGZ4SVRCPKdLB"),
+    "Coptic": ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),
+    "Lisu": ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Latin": ("ıɑɡɩȷᴄᴏᴠᴡᴢꜱᴋǃ", "iagijcovwzsĸ!"),
+    "Marks": ("‐‑ʼ∶⁄∕‧∙⋅", "--’://···"),
 }
-#: Pairs of the table above that differ visibly (З is a letter, 3 a digit).
-_VISIBLE = "З"
 _SPACE = re.compile(r"[^\S\n]")
 _LINE = re.compile("\r\n?|[\u2028\u2029\x85]")
 #: A joiner between pictographs makes them one, which shows.
@@ -45,9 +46,8 @@ def _prototypes() -> dict[int, str | None]:
         elif kind := re.match(r"<(\w+)>", unicodedata.decomposition(char)):
             if kind[1] in ("wide", "narrow", "noBreak", "font", "small") or kind[1] == "compat" and category in ("Ll", "Lu", "Lt", "Lo", "Nl", "Lm"):
                 table[code] = unicodedata.normalize("NFKD", char)
-    table[0x2011] = "-"
     for odd, plain in LOOKALIKES.values():
-        table.update((ord(a), b) for a, b in zip(odd, plain, strict=True) if a not in _VISIBLE)
+        table.update((ord(a), b) for a, b in zip(odd, plain, strict=True))
     # A width form may lead to a look-alike letter.
     return {k: v if v is None else "".join(table.get(ord(c), c) or "" for c in v) for k, v in table.items()}
 
@@ -95,19 +95,38 @@ def consistent_form(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(lambda it: _forms(it, True), "doc_id bigint, form string")
 
 
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, looks, exact), the classes of equal texts (looks, exact, least, n), and those of looks that have several."""
+    rows = documents.select("doc_id", "text").mapInArrow(lambda it: _forms(it, False), "doc_id bigint, looks binary, exact binary").where("doc_id IS NOT NULL AND looks IS NOT NULL")
+    rows = materialize(rows.distinct(), "looks")
+    classes = materialize(rows.groupBy("looks", "exact").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    mixed = classes.groupBy("looks").agg(F.count("*").alias("spellings"), F.min("least").alias("group"), F.sum("n").alias("all")).where("spellings > 1")
+    return rows, classes, mixed
+
+
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """Pairs doc_id_a < doc_id_b of texts that look the same but are not equal.
 
-    Only 128-bit hashes of skeleton and text are shuffled. Groups of one exact
-    text, however many copies it has, are left by an aggregate before the join;
-    null, empty and blank texts are left out. Equal copies of a text form no
-    pair with each other, but each pairs with all documents of the other
-    spellings.
+    Only 128-bit hashes of skeleton and text are shuffled. Texts become classes
+    of equal texts, classes of one look are paired, and each pair of classes is
+    expanded into its documents, so the work follows the pairs that come out:
+    equal copies of a text never meet each other, however many there are. Null,
+    empty and blank texts and null ids are left out.
     """
-    rows = documents.select("doc_id", "text").mapInArrow(lambda it: _forms(it, False), "doc_id bigint, looks binary, exact binary").where("looks IS NOT NULL")
-    rows = materialize(rows.distinct(), "looks")
-    mixed = rows.groupBy("looks").agg(F.min("exact").alias("least"), F.max("exact").alias("most")).where("least <> most").select("looks")
-    rows = rows.join(mixed, "looks", "left_semi")
-    other = rows.select("looks", F.col("exact").alias("exact_b"), F.col("doc_id").alias("doc_id_b"))
-    pairs = rows.withColumnRenamed("doc_id", "doc_id_a").join(other, "looks").where("doc_id_a < doc_id_b AND exact <> exact_b")
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    rows, classes, mixed = _classes(documents)
+    several = classes.join(mixed.select("looks"), "looks").select("looks", "exact")
+    pairs = several.withColumnRenamed("exact", "a").join(several.withColumnRenamed("exact", "b"), "looks").where("a < b").select("a", "b")
+    members = rows.join(mixed.select("looks"), "looks", "left_semi").select("exact", "doc_id")
+    both = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b")
+    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+
+
+def lookalike_classes(documents: DataFrame) -> DataFrame:
+    """doc_id, ``group`` (the least document of the same looks) and ``n_links`` (documents of the same looks and another spelling); rows as in lookalike_pairs.
+
+    Documents that look like no other spelling are groups by the least of their
+    copies, with no links. No pairs are formed.
+    """
+    rows, classes, mixed = _classes(documents)
+    known = classes.join(mixed, "looks", "left").select("looks", "exact", F.coalesce("group", "least").alias("group"), F.coalesce(F.col("all") - F.col("n"), F.lit(0)).alias("n_links"))
+    return rows.join(known, ["looks", "exact"]).select("doc_id", "group", "n_links")

@@ -73,11 +73,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, folder, "documents"))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, folder, "documents")).withColumnRenamed("group", "group_id")
+
+
 def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_links, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_draw, p7_shares, p8_found, p8_forms)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_links, p3_found, p3_nearest, p4_found, p4_groups, p5_found, p5_clean, p6_ids, p7_draw, p7_shares, p8_found, p8_classes, p8_forms)}
 
 _WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
 

@@ -408,7 +408,7 @@ def test_draw_of_nothing(spark: SparkSession) -> None:
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("ｆｕｌｌ width", "full width"), ("a​b­c", "abc"), ("a b c", "a b c"), ("é", "é"), ("раре", "pape"), ("ﬁt", "fit"), ("ÅK", "ÅK"), ("non‑stop", "non-stop"), ("x\r\ny", "x\ny"), ("µ", "μ")],
+    [("ｆｕｌｌ width", "full width"), ("a​b­c", "abc"), ("a b c", "a b c"), ("é", "é"), ("раре", "pape"), ("ﬁt", "fit"), ("ÅK", "ÅK"), ("non‑stop", "non-stop"), ("x\r\ny", "x\ny"), ("µ", "μ"), ("νακρο", "vaĸpo"), ("օս", "ou"), ("ѵԍ", "vg"), ("ᎪᏢ", "AP"), ("ᴏᴠ", "ov"), ("ꓮꓐ", "AB"), ("кот", "κoт")],
 )
 def test_same_looks(a: str, b: str) -> None:
     assert lookalike.skeleton(a) == lookalike.skeleton(b)
@@ -435,3 +435,13 @@ def test_lookalike_pairs(spark: SparkSession) -> None:
     forms = {r.doc_id: r.form for r in lookalike.consistent_form(rows).collect()}
     assert forms[2] == "abc" and forms[4] is None and forms[5] == ""
     assert lookalike.lookalike_pairs(rows.limit(0)).count() == 0
+    classes = {r.doc_id: (r.group, r.n_links) for r in lookalike.lookalike_classes(rows.union(rows)).collect()}
+    assert classes == {0: (0, 2), 1: (0, 2), 2: (0, 3), 3: (0, 3), 8: (8, 0), 9: (9, 1), 10: (9, 1)}
+    assert lookalike.lookalike_classes(rows.limit(0)).count() == 0
+
+
+def test_one_variant_beside_many_copies(spark: SparkSession) -> None:
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "ｓame").otherwise("same").alias("text"))
+    found = lookalike.lookalike_pairs(rows)
+    assert found.count() == found.distinct().count() == 39_999
+    assert lookalike.lookalike_classes(rows).agg(F.sum("n_links"), F.count_distinct("group")).first()[:] == (2 * 39_999, 1)
