@@ -1,4 +1,4 @@
-"""Problem 3: nearest vectors, of all rows or through shifted Hilbert curves."""
+"""Problem 3: nearest vectors through shifted Hilbert curves, or of all rows."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from folioscope.operators.lineage import materialize
 
 _KEYED = "curve int, place bigint, h bigint, vector array<float>"
 _FOUND = "h bigint, other bigint, cosine double"
+_ROWS_A_TASK = 60_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -248,39 +249,72 @@ def _compared(batches: Iterator[pa.RecordBatch], size: int, k: int, least: float
         yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(other[r, c]), pa.array(best[r, c])], ["h", "other", "cosine"])
 
 
-def _exhaustive(vectors: DataFrame, size: int, k: int, least: float, asking: int = 4096, asked: int = 160_000) -> DataFrame:
-    """h, other and cosine of the best k of each row among all rows, for each ``asked`` rows once.
+_SOUND_SQL = "size(embedding) = {0} AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)"
 
-    Each task holds about ``asking`` rows with their best so far while blocks of ``asked`` rows pass.
+
+def _in_blocks(asking: DataFrame, asked: DataFrame, size: int, k: int, least: float, step: int = 4096, width: int = 160_000) -> DataFrame:
+    """h, other and cosine of the best k of each row of ``asking`` (h, embedding) among all rows of ``asked``, for each ``width`` of these once.
+
+    Each task holds about ``step`` rows with their best so far while blocks of ``width`` rows pass. Both are written tables.
     """
-    sound = f"size(embedding) = {size} AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)"
-    table = materialize(vectors.where(sound).groupBy("h").agg(F.min("embedding").alias("embedding")), "vectors")
-    n = table.count()
     kind = "ids binary, vectors binary"
-    left = table.repartition(max(1, -(-n // asking))).mapInArrow(lambda it: _blocks(it, size, 2 * asking), kind)
-    right = table.repartition(max(1, -(-n // asked))).mapInArrow(lambda it: _blocks(it, size, 8192), kind)
+    left = asking.repartition(max(1, -(-asking.count() // step))).mapInArrow(lambda it: _blocks(it, size, 2 * step), kind)
+    right = asked.repartition(max(1, -(-asked.count() // width))).mapInArrow(lambda it: _blocks(it, size, 8192), kind)
     right = materialize(right, "blocks").toDF("x_ids", "x_vectors")
     return left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(lambda it: _compared(it, size, k, least), _FOUND)
 
 
+def _exhaustive(vectors: DataFrame, size: int, k: int, least: float) -> DataFrame:
+    """h, other and cosine of the best k of each row among all rows."""
+    table = materialize(vectors.where(_SOUND_SQL.format(size)).groupBy("h").agg(F.min("embedding").alias("embedding")), "vectors")
+    return _in_blocks(table, table, size, k, least)
+
+
+def _with_crowds(met: DataFrame, vectors: DataFrame, size: int, k: int, least: float) -> DataFrame:
+    """``met`` (h, other, cosine), whose crowded rows are compared anew with all rows that met any other.
+
+    A row with fewer than ``k`` finds has room for all; one that has k may
+    have missed nearer ones where more rows are alike than a window holds. Of equal vectors only k + 1 are
+    compared, which are enough to fill the places of all: the others' nearest are the first k of them.
+    """
+    met = materialize(met, "met")
+    found = met.groupBy("h").agg(F.count("*").alias("n"))
+    crowded = materialize(found.where(F.col("n") >= k).select("h"), "crowded")
+    if not crowded.limit(1).count():
+        return met
+    alike = met.select("h").unionByName(met.select(F.col("other").alias("h"))).distinct()
+    known = vectors.where(_SOUND_SQL.format(size)).join(alike, "h", "left_semi").groupBy("h").agg(F.min("embedding").alias("embedding"))
+    known = materialize(known, "alike")
+    by = Window.partitionBy("embedding").orderBy("h")
+    first = materialize(known.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k + 1), "first")
+    table = first.select("h", "embedding")
+    again = _in_blocks(materialize(table.join(crowded, "h", "left_semi"), "asking"), table, size, k, least)
+    copies = first.groupBy("embedding").agg(F.sort_array(F.collect_list("h")).alias("hs")).where(F.size("hs") > k)
+    more = known.join(first.select("h"), "h", "left_anti").join(copies, "embedding").select("h", F.explode(F.slice("hs", 1, k)).alias("other"), F.lit(1.0).alias("cosine"))
+    kept = met.join(crowded, "h", "left_anti").join(more.select("h").distinct(), "h", "left_anti")
+    return kept.unionByName(again).unionByName(more)
+
+
 def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 64, curves: int = 6, axes: int = 12, bits: int = 5, reach: int | None = None, seed: int = 7) -> DataFrame:
     """id, other, cosine and rank of the k rows most similar to each row: of all rows, or with a ``reach`` as far as the curves show them.
 
-    Without a reach every row is compared with every other, in blocks, so the
-    result is exact and the work grows as the square of the rows. Unrelated
-    vectors have their nearest almost at random, and no window of a fixed size
-    finds them; figures are in the README.
-
     With a reach the method is shifted space-filling curves. Each of ``curves`` random projections
     to ``axes`` coordinates, with its own shift, puts all rows on one Hilbert
     curve; the curves are range-partitioned in one exchange and sorted, and
     each row is compared with the ``reach`` rows before and after it. The k
     best of all windows remain, with exact cosines. ``min_cosine`` is pushed
-    into the windows: pairs below it are never emitted.
+    into the windows: pairs below it are never emitted. It also tells crowds: a
+    row that met k rows of at least that cosine is compared with all
+    rows that met any (see _with_crowds), however many are alike.
 
     Recall of the curves falls with the angle: near copies are next to each other on nearly
     every curve, the nearest of unrelated vectors often are not. Rows at the border of two range partitions meet on other
-    curves, whose borders lie elsewhere.
+    curves, whose borders lie elsewhere; partitions follow the number of rows.
+
+    Without a reach every row is compared with every other, in blocks, so the
+    result is exact and the work grows as the square of the rows. Unrelated
+    vectors have their nearest almost at random, and no window of a fixed size
+    finds them; figures are in the README.
 
     Rows with a null, wrongly sized, all-zero or non-finite vector, or a null
     id, are left out. A row delivered twice counts once. On the way rows go by a
@@ -289,7 +323,6 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
     """
     if axes * bits > 63:
         raise ValueError("axes * bits must be at most 63")
-    spark = rows.sparkSession
     known = rows.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding", F.xxhash64("id").alias("h"))
     vectors = known.select("h", "embedding")
     least = min_cosine - 1e-6 if min_cosine > -1 else -1.5
@@ -297,20 +330,19 @@ def nearest(rows: DataFrame, k: int = 5, min_cosine: float = -1.0, size: int = 6
         met = _exhaustive(vectors, size, k, least)
     else:
         keyed = vectors.mapInArrow(lambda it: _keys(it, size, curves, axes, bits, seed), _KEYED)
-        parts = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        parts = curves * max(1, -(-rows.count() // _ROWS_A_TASK))
         placed = keyed.repartitionByRange(parts, "curve", "place", "h").sortWithinPartitions("curve", "place", "h").select("curve", "h", "vector")
         met = placed.mapInArrow(lambda it: _window(it, size, k, reach, least, 512), _FOUND)
     met = met.where((F.col("cosine") >= min_cosine) & (F.col("h") != F.col("other"))).groupBy("h", "other").agg(F.max("cosine").alias("cosine"))
+    if reach is not None and min_cosine > -1:
+        met = _with_crowds(met, vectors, size, k, least).where(F.col("cosine") >= min_cosine)
     by = Window.partitionBy("h").orderBy(F.desc("cosine"), "other")
     best = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     names = known.select("h", "id").distinct()
     return best.join(names, "h").join(names.select(F.col("h").alias("other"), F.col("id").alias("name")), "other").select("id", F.col("name").alias("other"), "cosine", "rank")
 
 
-def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, reach: int | None = None, **options: int) -> DataFrame:
-    """Pairs id_a < id_b with a cosine of at least ``min_cosine``, where one is among the k nearest of the other; of all rows, unless a ``reach`` is given.
-
-    Windows of the curves lose neighbours in crowds of nearly equal vectors and at the borders of partitions.
-    """
+def similar_pairs(rows: DataFrame, min_cosine: float = 0.9, k: int = 5, reach: int | None = 512, **options: int) -> DataFrame:
+    """Pairs id_a < id_b with a cosine of at least ``min_cosine``, where one is among the k nearest of the other; cases and method as in nearest."""
     found = nearest(rows, k, min_cosine, reach=reach, **options)
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

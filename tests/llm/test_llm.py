@@ -231,6 +231,30 @@ def test_pairs_in_a_crowd_of_near_copies(spark: SparkSession) -> None:
     assert {tuple(r) for r in neighbours.similar_pairs(rows).collect()} == want
 
 
+@pytest.mark.parametrize("n", [400, 3000, 30_000])
+def test_pairs_of_a_cluster_among_unrelated_vectors(spark: SparkSession, n: int) -> None:
+    """A cluster of a mutual cosine of about 0.95, a run of equal vectors, and unrelated ones; a hundredth of the cluster against all rows."""
+    rng = np.random.default_rng(n)
+    center = rng.standard_normal(64)
+    vectors = np.concatenate([center + 0.23 * rng.standard_normal((n, 64)), np.tile(rng.standard_normal(64), (700, 1)), rng.standard_normal((4000, 64))]).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, 64, dtype=np.int32)), pa.array(vectors.ravel()))
+    rows = spark.createDataFrame(pa.table({"id": pa.array([f"{i:06}" for i in range(len(vectors))]), "embedding": lists}))
+    found = neighbours.nearest(rows, min_cosine=0.9, reach=512)
+    got: dict[int, set[int]] = {}
+    for r in found.where("cast(id AS int) % 100 = 0").collect():
+        got.setdefault(int(r.id), set()).add(int(r.other))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    wrong = 0
+    for i in range(0, n, 100):
+        cos = unit @ unit[i]
+        cos[i] = -2
+        best = {int(j) for j in np.argsort(-cos)[:5] if cos[j] >= 0.9}
+        wrong += len(best ^ got.get(i, set()))
+    assert wrong == 0
+    for i in range(n, n + 700, 100):
+        assert len(got[i]) == 5 and all(n <= j < n + 700 and j != i for j in got[i])
+
+
 # Problem 4
 
 
