@@ -93,7 +93,7 @@ def _prefix_keys(sets: np.ndarray, sizes: np.ndarray, groups: int, orders: int)
 
 
 def _classes(batches: Iterator[pa.RecordBatch], width: int, least_words: int, groups: int = 0, orders: int = 0) -> Iterator[pa.RecordBatch]:
-    """id and class of each row; with groups, instead class and keys, once for each class of a task."""
+    """id, class and 128-bit digest of each row's set; with groups, instead class and keys, once for each class of a task."""
     words, met = _Words(), set()
     for batch in batches:
         rows, sets, sizes = shingle_sets(batch.column(1).to_pylist(), width, least_words, words)
@@ -102,7 +102,8 @@ def _classes(batches: Iterator[pa.RecordBatch], width: int, least_words: int, gr
         ends = np.cumsum(sizes)
         class_ = np.fromiter((xxhash.xxh3_64_intdigest(sets[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)), np.uint64, len(sizes)).view(np.int64)
         if not groups:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(class_)], ["id", "class"])
+            digests = [xxhash.xxh3_128_digest(sets[e - s : e].tobytes()) for s, e in zip(sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(class_), pa.array(digests, pa.binary())], ["id", "class", "digest"])
             continue
         if len(met) > _KEPT:
             met.clear()
@@ -132,7 +133,73 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good), pa.array(scores).take(good)], ["a", "b", "jaccard"])
 
 
-def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6, width: int = 3, least_words: int = 40, groups: int = 150, orders: int = 5) -> tuple[DataFrame, DataFrame]:
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "content").where("id IS NOT NULL AND content IS NOT NULL")
+
+
+def _classed(texts: DataFrame, width: int, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, head) of the classes of equal sets, and heads (class, head). Sets are equal by 128-bit digest; ``class`` is a shorter hash that only brings candidates together."""
+    classed = materialize(texts.mapInArrow(lambda it: _classes(it, width, least_words), "id string, class bigint, digest binary"), "classed")
+    heads = materialize(classed.groupBy("digest").agg(F.min("id").alias("head"), F.min("class").alias("class")), "heads")
+    return classed.join(heads.select("digest", "head"), "digest").select("id", "head").distinct(), heads.select("class", "head")
+
+
+def _posted(texts: DataFrame, heads: DataFrame, width: int, least_words: int, groups: int, orders: int) -> DataFrame:
+    """key and head of the classes that share a key with another."""
+    by = Window.partitionBy("key")
+    posted = texts.mapInArrow(lambda it: _classes(it, width, least_words, groups, orders), "class bigint, key bigint")
+    posted = posted.withColumn("least", F.min("class").over(by)).withColumn("most", F.max("class").over(by)).where("least < most").select("key", "class").distinct()
+    return materialize(posted.join(heads, "class").select("key", "head"), "posted")
+
+
+def _token_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: _sets(it, width), "id string, tokens binary")
+    return materialize(sets, "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b and jaccard of those pairs (a, b) whose whole sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    return both.mapInArrow(lambda it: _verify(it, threshold), "a string, b string, jaccard double")
+
+
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+        ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))], ["head", "tokens"])
+
+
+def _prefix_pairs(texts: DataFrame, heads: DataFrame, threshold: float, width: int, orders: int) -> DataFrame:
+    """Candidates (a, b) of heads by full-length prefixes, exactly: two sets that reach the threshold share a token of both prefixes under every order.
+
+    The first order is by rarity; its matches must be able to reach the
+    threshold by their sizes and places. What is left must share a token in
+    the prefixes under ``orders`` - 1 hashed orders as well.
+    """
+    tokens = _token_sets(texts, heads.select(F.col("head").alias("id")), width).mapInArrow(_tokens_of, "head string, tokens array<bigint>")
+    tokens = materialize(tokens, "tokens")
+    length = F.size("tokens") - F.ceil(F.size("tokens") * threshold - 1e-9) + 1
+    each = tokens.select("head", F.size("tokens").alias("n"), length.alias("p"), F.explode("tokens").alias("token"))
+    df = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    by = Window.partitionBy("head").orderBy("df", "token")
+    # Tokens of one set only come first in the order and match nothing: they are counted, not joined.
+    shared = each.join(df, "token")
+    alone = shared.groupBy("head").agg(F.count("*").alias("met"))
+    ranked = shared.withColumn("at", F.row_number().over(by)).join(alone, "head").withColumn("at", F.col("at") + F.col("n") - F.col("met")).where(F.col("at") <= F.col("p"))
+    prefix = materialize(ranked.select("token", "head", "n", "at"), "prefixes")
+    x, y = (prefix.select("token", *[F.col(c).alias(f"{c}_{e}") for c in ("head", "n", "at")]) for e in "ab")
+    met = x.join(y, "token").where("head_a < head_b").where((F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9))
+    pairs = met.groupBy("head_a", "head_b", "n_a", "n_b").agg(F.count("*").alias("k"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    most = F.col("k") + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))
+    pairs = pairs.where(most >= F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    for o in range(1, orders):
+        under = tokens.select("head", F.slice(F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(o)))), 1, length).alias("prefix"))  # noqa: B023
+        pairs = pairs.join(under.toDF("a", "prefix_a"), "a").join(under.toDF("b", "prefix_b"), "b").where(F.arrays_overlap("prefix_a", "prefix_b")).select("a", "b")
+    return pairs
+
+
+def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6, width: int = 3, least_words: int = 40, groups: int = 150, orders: int = 5, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members (id, head) of the classes of equal shingle sets, and links (a, b, jaccard) between heads a < b of at least ``threshold``.
 
     Method: multiple global orders. Every set is filtered by its prefix under
@@ -140,34 +207,25 @@ def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6, width: int =
     candidates share the prefix token under all orders of at least one group,
     and are then verified on the whole sets. A pair of similarity s is missed
     with (1 - s^orders)^groups, for 150 groups of 5 orders 0.000005 at 0.6
-    and less than 0.0000001 from 0.65 on. Full-length
-    prefixes, which need no such chance, make posting lists that grow as the
+    and less than 0.0000001 from 0.65 on. ``exact`` takes full-length
+    prefixes under three orders instead, which miss nothing (see _prefix_pairs), but make posting lists that grow as the
     square of a corpus whose vocabulary is exhausted; figures in the README.
 
     Equal sets are one class before the filter, however many copies there are:
     a task emits a class's keys once, so copies never meet in a group. Each
-    key's rows are spread by the join, a key is never collected. Classes are
-    64-bit hashes of sets. Null contents and those of fewer than
+    key's rows are spread by the join, a key is never collected. Null ids and contents and those of fewer than
     ``least_words`` words belong to no class. A row delivered twice counts once.
     """
-    texts = rows.select("id", "content").where("id IS NOT NULL AND content IS NOT NULL")
-    by = Window.partitionBy("key")
-    posted = texts.mapInArrow(lambda it: _classes(it, width, least_words, groups, orders), "class bigint, key bigint")
-    posted = posted.withColumn("least", F.min("class").over(by)).withColumn("most", F.max("class").over(by)).where("least < most").select("key", "class").distinct()
-    posted = materialize(posted, "posted")
-    classed = materialize(texts.mapInArrow(lambda it: _classes(it, width, least_words), "id string, class bigint"), "classed")
-    heads = classed.groupBy("class").agg(F.min("id").alias("head"))
-    members = classed.join(heads, "class").select("id", "head").distinct()
-    pairs = posted.withColumnRenamed("class", "a").join(posted.withColumnRenamed("class", "b"), "key").where("a < b").select("a", "b").distinct()
-    named = heads.join(posted.select("class").distinct(), "class")
-    pairs = pairs.join(named.select(F.col("class").alias("a"), F.col("head").alias("x")), "a").join(named.select(F.col("class").alias("b"), F.col("head").alias("y")), "b")
-    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(lambda it: _sets(it, width), "id string, tokens binary")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    links = both.mapInArrow(lambda it: _verify(it, threshold), "a string, b string, jaccard double")
-    return members, materialize(links, "links")
+    texts = _texts(rows)
+    members, heads = _classed(texts, width, least_words)
+    if exact:
+        pairs = materialize(_prefix_pairs(texts, heads, threshold, width, 3), "candidates")
+    else:
+        posted = _posted(texts, heads, width, least_words, groups, orders)
+        pairs = posted.withColumnRenamed("head", "a").join(posted.withColumnRenamed("head", "b"), "key").where("a < b").select("a", "b").distinct()
+        pairs = materialize(pairs, "candidates")
+    sets = _token_sets(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
+    return members, materialize(_verified(pairs, sets, threshold), "links")
 
 
 def near_duplicate_pairs(rows: DataFrame, **options: float) -> DataFrame:
@@ -182,29 +240,63 @@ def near_duplicate_pairs(rows: DataFrame, **options: float) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def near_duplicate_groups(rows: DataFrame, **options: float) -> DataFrame:
-    """id, ``group`` (the least id linked with it over any number of steps) and ``n_links``, the links of its text to other texts.
+def _components(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels (head, label) after links (a, b): of all that are linked over any number of steps the least label.
 
-    Rows in no class have no row here. Components spread by the least
-    neighbour with pointer jumping over tables in the shared folder, so rounds
-    grow with the logarithm of a chain, and no links reach the driver.
+    The least label of the neighbours spreads with pointer jumping over tables in the
+    shared folder, so rounds grow with the logarithm of a chain, and no links reach the driver.
     """
-    members, links = near_duplicate_classes(rows, **options)
-    members = materialize(members, "members")
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    ends = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    edges = materialize(ends.union(ends.select("y", "x")).toDF("a", "b"), "edges")
+    roots = written = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
+    while True:
+        best = edges.join(roots.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
+        jump = roots.toDF("root", "far")
+        step = roots.join(best, "a").join(jump, "root", "left").select("a", F.least("root", "near", "far").alias("new"), "root")
+        step = written = materialize(step, "roots", written)
+        roots = step.select("a", F.col("new").alias("root"))
+        if not step.where("new <> root").limit(1).count():
+            break
+    return labels.join(roots.toDF("label", "root"), "label", "left").select("head", F.coalesce("root", "label").alias("label"))
+
+
+def near_duplicate_groups(rows: DataFrame, threshold: float = 0.6, width: int = 3, least_words: int = 40, groups: int = 150, orders: int = 5) -> DataFrame:
+    """id and ``group``, the least id linked with it over any number of steps; rows in no class have no row here. Cases and candidates as in near_duplicate_classes.
+
+    Not all pairs of a crowded key are verified, as a group needs only links
+    that hold it together. In each round every key's members meet one of them,
+    another one each round, unless they are of one group already; when what is
+    left to compare is little, or a round spares less than a third of it, all pairs of different groups
+    that share a key are verified. So every candidate pair is either verified
+    or within a group, and rounds grow with the logarithm of the pairs.
+    """
+    texts = _texts(rows)
+    members, heads = _classed(texts, width, least_words)
+    posted = _posted(texts, heads, width, least_words, groups, orders)
+    sets = _token_sets(texts, posted.select(F.col("head").alias("id")).distinct(), width)
+    labels = written = materialize(posted.select("head").distinct().withColumn("label", F.col("head")), "labels")
+    few, turn, before = 4 * posted.count(), 0, float("inf")
     while True:
-        best = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("far"))
-        step = labels.join(best, "a").join(jump, "label", "left").select("a", F.least("label", "near", "far").alias("new"), "label")
-        step = materialize(step, "labels")
-        changed = step.where("new <> label").limit(1).count()
-        labels = step.select("a", F.col("new").alias("label"))
-        if not changed:
+        at = posted.join(labels, "head")
+        kept = at.groupBy("key", "label").agg(F.count("*").alias("n"))
+        left = kept.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")).where("all * all > same")
+        cross = left.agg(F.coalesce(F.sum(F.col("all") * F.col("all") - F.col("same")), F.lit(0)) / 2).first()[0]
+        if not cross:
+            break
+        apart = at.join(left.select("key"), "key", "left_semi")
+        last = cross <= few or cross > 0.7 * before
+        if last:
+            one, two = kept.join(left.select("key"), "key").select("key", F.col("label").alias("x")), kept.select("key", F.col("label").alias("y"))
+            both = one.join(two, "key").where("x < y")
+            pairs = both.join(apart.select("key", F.col("label").alias("x"), F.col("head").alias("a")), ["key", "x"]).join(apart.select("key", F.col("label").alias("y"), F.col("head").alias("b")), ["key", "y"])
+        else:
+            center = apart.groupBy("key").agg(F.min_by(F.struct("head", "label"), F.xxhash64("head", F.lit(turn))).alias("c"))
+            pairs = apart.join(center, "key").where("label <> c.label").select(F.col("head").alias("a"), F.col("c.head").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = materialize(_verified(pairs, sets, threshold), "links")
+        if links.limit(1).count():
+            labels = written = materialize(_components(links, labels), "labels", written)
+        if last:
             break
-    degree = edges.groupBy("a").agg(F.count("*").alias("n_links"))
-    return (
-        members.join(labels.withColumnRenamed("a", "head"), "head", "left")
-        .join(degree.withColumnRenamed("a", "head"), "head", "left")
-        .select("id", F.coalesce("label", "head").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+        turn, before = turn + 1, cross
+    return members.join(labels, "head", "left").select("id", F.coalesce("label", "head").alias("group"))

@@ -46,7 +46,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicates.near_duplicate_groups(table(spark, folder, "chunks"))
-    return groups.select(F.col("id").alias("chunk_id"), F.col("group").alias("group_id"), "n_links")
+    return groups.select(F.col("id").alias("chunk_id"), F.col("group").alias("group_id"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
