@@ -55,22 +55,20 @@ def stroke_skeleton(word: str) -> str:
     return word.lower().translate(_TO_STROKES).replace("j", "i")
 
 
-def readings(word: str, depth: int = 2) -> set[str]:
-    """Words that ``word`` may stand for, up to ``depth`` confusions or specks away."""
-    met, level = {word}, {word}
-    for _ in range(depth):
-        new = set()
-        for w in level:
-            for i in range(len(w)):
-                if w[i] in SPECKS:
-                    new.add(w[:i] + w[i + 1 :])
-                for size in (1, 2):
-                    new.update(w[:i] + t + w[i + size :] for t in _FROM.get(w[i : i + size], ()))
-        level = new - met
-        met |= level
-        if len(met) > 4000:
-            break
-    return met - {word}
+def reads_as(word: str, right: str, depth: int = 2) -> bool:
+    """Whether ``right`` is what ``word`` may stand for, up to ``depth`` confusions or specks away."""
+    i = 0
+    while i < len(word) and i < len(right) and word[i] == right[i]:
+        i += 1
+    word, right = word[i:], right[i:]
+    if word == right:
+        return True
+    if not depth or not word:
+        return False
+    if word[0] in SPECKS and reads_as(word[1:], right, depth - 1):
+        return True
+    # No confusion begins with the letter it replaces, so the first difference is where one begins.
+    return any(right.startswith(t) and reads_as(word[size:], right[len(t) :], depth - 1) for size in (1, 2) for t in _FROM.get(word[:size], ()))
 
 
 def is_misread_number(token: str) -> bool:
@@ -101,15 +99,25 @@ def header_text(line: str) -> str:
 def may_be_header(line: str) -> bool:
     """Whether a line starts and ends as titles and names do."""
     line = line.strip()
-    if not 3 <= len(line) <= 300 or line[-1] in ".,;:-" and not line.lower().endswith("al.") or line[0].islower():
+    if len(line) < 3 or line[-1] in ".,;:-" and not line.lower().endswith("al.") or line[0].islower():
         return False
     text = header_text(line)
     return len(text) >= 3 and not text[0].islower() and any(c.isalpha() for c in text)
 
 
 def _folded(text: str) -> str:
+    """Letters of any script by their strokes; digits, marks and accents vanish."""
     plain = unicodedata.normalize("NFD", unicodedata.normalize("NFC", text).lower().translate(_TO_STROKES))
-    return re.sub(r"[^a-z]", "", plain).replace("j", "i")
+    return "".join(c for c in plain if c.isalpha()).replace("j", "i")
+
+
+def _plain_line(line: str) -> str:
+    return " ".join(line.lower().split())
+
+
+def masked(line: str) -> str:
+    """A line without its page number, in single spaces, with digits masked, so that all its copies are one."""
+    return re.sub(r"[0-9]", "#", " ".join(header_text(line).split()))
 
 
 def _near(a: str, b: str) -> bool:
@@ -134,19 +142,24 @@ def _near(a: str, b: str) -> bool:
 
 
 def _letters(text: str) -> str:
-    return re.sub(r"[\W_]+", "", unicodedata.normalize("NFC", text).lower())
+    return re.sub(r"[\W\d_]+", "", unicodedata.normalize("NFC", text).lower())
 
 
-def header_forms(title: str | None, authors: list[str] | None) -> dict[str, set[str]]:
-    """Forms a running header may have (the title, the title up to its colon, the authors' surnames): folded, with the letters of each."""
-    forms = [title, title.split(":")[0]] if title else []
+def header_lines(title: str | None, authors: list[str] | None) -> list[str]:
+    """What a running header may say: the title, the title up to its colon, the authors' surnames."""
+    lines = [title, title.split(":")[0]] if title else []
     names = [n.split(",")[0].strip() if "," in n else n.split()[-1] for n in authors or [] if n and n.strip()]
     if names:
         joined = [" and ".join(names), ", ".join(names), ", ".join(names[:-1]) + " and " + names[-1], f"{names[0]} et al."]
-        forms += joined if len(names) > 1 else names
+        lines += joined if len(names) > 1 else names
+    return [x for x in lines if x]
+
+
+def header_forms(title: str | None, authors: list[str] | None) -> dict[str, set[str]]:
+    """Forms of the lines that a running header may be, of at least four letters: folded, with the letters of each."""
     out: dict[str, set[str]] = {}
-    for x in forms:
-        if x and len(f := _folded(x)) >= 4:
+    for x in header_lines(title, authors):
+        if len(f := _folded(x)) >= 4:
             out.setdefault(f, set()).add(_letters(x))
     return out
 
@@ -155,20 +168,28 @@ def _ends_broken(line: str) -> bool:
     return line.rstrip()[-1:] in _BREAKS
 
 
+def _continuation(lines: list[str], i: int, skip: set[int]) -> tuple[int, str, re.Match] | None:
+    """Where the word that line i breaks goes on, its first half and the match of its second; None if line i breaks none."""
+    if i in skip or not _ends_broken(lines[i]) or not (m := _BROKEN.search(lines[i])):
+        return None
+    j = i + 1
+    while j < len(lines) and (j in skip or not lines[j].strip()):
+        j += 1
+    if j == len(lines) or (j > i + 1 and not any(k in skip for k in range(i + 1, j))):
+        return None
+    n = _CONTINUED.match(lines[j])
+    if not n or n[1] in ("and", "or", "to", "und", "oder") or not (n[1][0].islower() or m[1][0].isupper() and n[1][0].isupper()):
+        return None
+    return j, m[1], n
+
+
 def _dehyphenated(lines: list[str], skip: set[int]) -> tuple[list[str], set[int]]:
     """Lines with broken words joined across ends of lines, headers, page numbers and blank lines; and the lines that ended in a break."""
     lines, broken = list(lines), set()
     for i in range(len(lines) - 1):
-        if i in skip or not _ends_broken(lines[i]) or not (m := _BROKEN.search(lines[i])):
-            continue
-        j = i + 1
-        while j < len(lines) and j - i <= 6 and (j in skip or not lines[j].strip()):
-            j += 1
-        if j >= len(lines) or j - i > 6 or (j > i + 1 and not any(k in skip for k in range(i + 1, j))):
-            continue
-        n = _CONTINUED.match(lines[j])
-        if not n or n[1] in ("and", "or", "to", "und", "oder") or not (n[1][0].islower() or m[1][0].isupper() and n[1][0].isupper()):
+        if not (met := _continuation(lines, i, skip)):
             continue
+        j, _, n = met
         end = n.end()
         while end < len(lines[j]) and not lines[j][end].isspace():
             end += 1
@@ -195,18 +216,28 @@ class _Cached(dict):
         return value
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What one pass over the chunks can tell: page numbers, lines that may be headers, ends of lines that may be breaks, misread numbers."""
+def _scan(batches: Iterator[pa.RecordBatch], titles: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What one pass over the chunks can tell: page numbers, lines that may be headers (``titles`` is a sieve of their plain lines), ends of lines that may be breaks, misread numbers."""
+    bits, known = len(titles) * 8, titles.tobytes()
+
+    def is_line(line: str) -> bool:
+        if may_be_header(line):
+            return True
+        line = line.strip()
+        numbered = line[0].isdigit() or line[-1].isdigit() or "|" in line
+        h = _hash(_plain_line(header_text(line) if numbered else line)) % bits
+        return bool(known[h >> 3] >> (h & 7) & 1)
+
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("chunk_id", "source_id", "kind", "line_no", "line")}
         for key, source, text, start, end in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             lines = _lines(text)
             pages = {i for i, x in enumerate(lines) if x.strip() and is_page_number(x, start, end)}
+            heads = {i for i, x in enumerate(lines) if i not in pages and x.strip() and is_line(x)} if len(lines) > 1 else set()
             found = [("page_number", i, None) for i in pages]
-            long = len(lines) > 1
-            found += [("line", i, lines[i].strip()) for i in range(len(lines)) if i not in pages and long and may_be_header(lines[i])]
+            found += [("line", i, masked(lines[i].strip())) for i in heads]
             if any(h in text for h in _ENDS):
-                found += [("end", i, x) for i, x in _break_candidates(lines, pages)]
+                found += [("end", i, x) for i, x in _break_candidates(lines, pages, heads)]
             if _MIXED.search(text) and any(is_misread_number(w.strip(_EDGE)) for w in _WORD.findall(text)):
                 found.append(("misread", -1, None))
             for kind, i, x in found:
@@ -215,18 +246,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out["chunk_id"], pa.string()), pa.array(out["source_id"], pa.string()), pa.array(out["kind"], pa.string()), pa.array(out["line_no"], pa.int32()), pa.array(out["line"], pa.string())], list(out))
 
 
-def _break_candidates(lines: list[str], pages: set[int]) -> list[tuple[int, str]]:
-    """Ends of lines that break a word: certain ones as an empty string, else the numbers of the lines between, of which a header must explain the gap."""
-    sure = _dehyphenated(lines, pages)[1]
-    if sure:
-        return [(min(sure), "")]
+def _break_candidates(lines: list[str], pages: set[int], heads: set[int]) -> list[tuple[int, str]]:
+    """Ends of lines that break a word: a certain one as an empty string; else, for each break and each number of lines after it that would have to be headers, the numbers of these lines under one name."""
+    for i in range(len(lines) - 1):
+        if _continuation(lines, i, pages):
+            return [(i, "")]
     unsure = []
     for i in range(len(lines) - 2):
-        if i not in pages and _ends_broken(lines[i]) and _BROKEN.search(lines[i]):
-            between = {j for j in range(i + 1, min(i + 6, len(lines))) if j not in pages and may_be_header(lines[j])}
-            for j in sorted(between):
-                if i in _dehyphenated(lines, pages | {j})[1]:
-                    unsure.append((j, "?"))
+        if i in pages or not _ends_broken(lines[i]) or not _BROKEN.search(lines[i]):
+            continue
+        between: list[int] = []
+        for j in range(i + 1, len(lines)):
+            if j in heads:
+                between.append(j)
+                if _continuation(lines, i, pages | set(between)):
+                    unsure += [(k, f"{i}:{len(between)}") for k in between]
+            elif j not in pages and lines[j].strip():
+                break
     return unsure
 
 
@@ -254,9 +290,9 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _form(part: str) -> str | None:
-    """A word as it is counted; None for code, numbers and what is very short or long."""
+    """A word as it is counted; None for code, numbers and what is very short."""
     form = part.strip(_EDGE).lower()
-    return None if _CODE.search(form) or not 3 <= len(form) <= 40 or form.replace(".", "").replace("%", "").isdigit() else form
+    return None if _CODE.search(form) or len(form) < 3 or form.replace(".", "").replace("%", "").isdigit() else form
 
 
 def _word_list(text: str) -> list[str]:
@@ -266,75 +302,74 @@ def _word_list(text: str) -> list[str]:
         for i in range(len(lines)):
             if _ends_broken(lines[i]) and (m := _BROKEN.search(lines[i])):
                 lines[i] = lines[i][: m.start()]
-                for j in range(i + 1, min(i + 5, len(lines))):
+                for j in range(i + 1, len(lines)):
+                    go_on = not lines[j].strip() or may_be_header(lines[j])
                     lines[j] = lines[j].lstrip().partition(" ")[2]
+                    if not go_on:
+                        break
         text = "\n".join(lines)
     return _WORD.findall(text)
 
 
-def _judge(batches: Iterator[pa.RecordBatch], ratio: int) -> Iterator[pa.RecordBatch]:
-    """Of each group of equal skeletons, rare forms and the frequent forms they may stand for, with the counts of these."""
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of a rare and a frequent form of one skeleton, those whose rare form may stand for the frequent one."""
     for batch in batches:
-        wrong, right, count = [], [], []
-        for members in batch.column(0).to_pylist():
-            counts = {m["form"]: m["n"] for m in members}
-            most = max(counts.values())
-            for form, n in counts.items():
-                if n * ratio > most or _CONTRACTED.fullmatch(form):
-                    continue
-                for f in readings(form) & counts.keys():
-                    if counts[f] >= ratio * n and counts[f] >= 3 and f.isalpha():
-                        wrong.append(form)
-                        right.append(f)
-                        count.append(counts[f])
-        yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string()), pa.array(right, pa.string()), pa.array(count, pa.int64())], ["form", "right", "n"])
+        pairs = zip(batch.column("form").to_pylist(), batch.column("right").to_pylist(), strict=True)
+        good = [not _CONTRACTED.fullmatch(f) and reads_as(f, r) for f, r in pairs]
+        yield batch.filter(pa.array(good, pa.bool_()))
 
 
 def misread_forms(chunks: DataFrame, ratio: int = 8) -> tuple[DataFrame, DataFrame]:
     """form, right and n: rare words, the frequent words that each may have been read from and their counts; and the vocabulary (skeleton, form, n).
 
-    Words are counted by chunks, grouped by stroke skeleton, and a form is
-    misread if a word at least ``ratio`` times as frequent is at most two
+    Words are counted by chunks, and a form is
+    misread if a word of its stroke skeleton at least ``ratio`` times as frequent is at most two
     confusions away. Only counts of forms are shuffled, combined within each
-    task; groups of one form end before Python. A group holds the forms of one
-    skeleton, not their occurrences, so its size follows the vocabulary.
+    task; rare forms are joined with the frequent ones of their skeleton, so no skeleton's forms come together in one row.
     """
     texts = chunks.where("content IS NOT NULL").select("content")
     counted = texts.mapInArrow(_vocabulary, "form string, skeleton string, n bigint").groupBy("skeleton", "form").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "vocabulary")
-    grouped = counted.groupBy("skeleton").agg(F.collect_list(F.struct("form", "n")).alias("forms"), F.max("n").alias("most")).where((F.size("forms") > 1) & (F.col("most") >= 3))
-    return materialize(grouped.select("forms").mapInArrow(lambda it: _judge(it, ratio), "form string, right string, n bigint"), "misread"), counted
+    right = counted.where((F.col("n") >= 3) & F.col("form").rlike(r"^\p{L}+$")).select("skeleton", F.col("form").alias("right"), F.col("n").alias("n_right"))
+    pairs = counted.join(right, "skeleton").where((F.col("n_right") >= ratio * F.col("n")) & (F.col("form") != F.col("right")))
+    pairs = pairs.select("form", "right", F.col("n_right").alias("n"))
+    return materialize(pairs.mapInArrow(_judge, "form string, right string, n bigint"), "misread"), counted
 
 
 class _Sieve:
-    """A bitmap of fixed size (512 KB) over 64-bit hashes, for a first look; joins decide."""
+    """A bitmap over 64-bit hashes, for a first look; joins decide. It has 16 bits or more for each hash, up to 32 MB, beyond which it lets more pass."""
 
-    bits = 1 << 22
+    least, most = 1 << 22, 1 << 28
 
     @classmethod
     def of(cls, rows: DataFrame) -> np.ndarray:
         """The bitmap of a column ``h``: one of each partition, joined in four tasks before they come to the driver."""
+        rows, bits = rows.select("h"), cls.least
+        n = rows.count()
+        while bits < min(cls.most, 16 * n):
+            bits *= 2
 
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = np.zeros(cls.bits // 8, np.uint8)
+            marks = np.zeros(bits // 8, np.uint8)
             for batch in batches:
-                at = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(cls.bits)
+                at = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(bits)
                 np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = np.zeros(cls.bits // 8, np.uint8)
+            marks = np.zeros(bits // 8, np.uint8)
             for batch in batches:
                 for part in batch.column(0):
                     marks |= np.frombuffer(part.as_buffer(), np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
 
-        parts = rows.select("h").mapInArrow(marked, "marks binary").repartition(4).mapInArrow(joined, "marks binary").collect()
-        return np.bitwise_or.reduce([np.frombuffer(p["marks"], np.uint8) for p in parts])
+        few = rows.coalesce(max(1, min(64, (1 << 31) // bits))).mapInArrow(marked, "marks binary")
+        parts = few.repartition(4).mapInArrow(joined, "marks binary").collect()
+        return np.bitwise_or.reduce([np.frombuffer(p["marks"], np.uint8) for p in parts] or [np.zeros(bits // 8, np.uint8)])
 
     @classmethod
     def hits(cls, marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = hashes % np.uint64(cls.bits)
+        at = hashes % np.uint64(8 * len(marks))
         return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -424,13 +459,18 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             about = (title, tuple(authors or ()))
             if about not in known:
                 known[about] = header_forms(title, authors)
-            text = header_text(line)
-            folded = _folded(text)
+            folded = _folded(line)
             if folded and (met := [f for f in known[about] if _near(folded, f)]):
                 keep.append(k)
-                wrong.append(_letters(text) not in set().union(*(known[about][f] for f in met)))
+                wrong.append(_letters(line) not in set().union(*(known[about][f] for f in met)))
         rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(rows), batch.column("line_no").take(rows), pa.array(wrong, pa.bool_())], ["chunk_id", "line_no", "wrong"])
+        yield pa.RecordBatch.from_arrays([batch.column("source_id").take(rows), batch.column("line").take(rows), pa.array(wrong, pa.bool_())], ["source_id", "line", "wrong"])
+
+
+def _title_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [_plain_line(header_text(x)) for t, a in zip(*(batch.column(c).to_pylist() for c in ("title", "authors")), strict=True) for x in header_lines(t, a)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([_hash(x) for x in lines if x], np.uint64).view(np.int64))], ["h"])
 
 
 def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -443,7 +483,7 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     context supports (see misread_forms, misread_words), a header that has other letters than the title or names it
     repeats, or a number holding letters for digits. header: a line that
     repeats the source's title, whole or up to its colon, or its authors'
-    surnames, in any case, with or without a page number; digits are masked
+    surnames, in any case and script, with or without a page number; digits are masked, so that copies of a line are compared once,
     and glyphs compared by strokes, so that a misread header is one too.
     page_number: a line that shows only a number from page_start to page_end.
 
@@ -452,13 +492,17 @@ def find_noise(chunks: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFr
     source, title and authors no header. A row delivered twice counts once.
     """
     rows = chunks.where("id IS NOT NULL AND content IS NOT NULL").select("id", "source_id", "content", "page_start", "page_end")
-    seen = materialize(rows.mapInArrow(_scan, "chunk_id string, source_id string, kind string, line_no int, line string").distinct(), "lines")
     about = sources.select(F.col("id").alias("source_id"), "title", "authors").dropDuplicates(["source_id"])
-    # A source may hold a large part of all lines: they are spread over copies of its row.
-    spread = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    lines = seen.where("kind = 'line'").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(16)).cast("int"))
-    headers = materialize(lines.join(spread, ["source_id", "salt"]).mapInArrow(_headers, "chunk_id string, line_no int, wrong boolean"), "headers")
-    unsure = seen.where("kind = 'end' AND line = '?'").select("chunk_id", "line_no").join(headers, ["chunk_id", "line_no"], "left_semi")
+    titles = _Sieve.of(about.select("title", "authors").mapInArrow(_title_hashes, "h bigint"))
+    seen = materialize(rows.mapInArrow(lambda it: _scan(it, titles), "chunk_id string, source_id string, kind string, line_no int, line string").distinct(), "lines")
+    # Copies of a line, its digits masked, are compared once for each source, then found again where they stand.
+    lines = seen.where("kind = 'line'")
+    repeated = lines.groupBy("source_id", "line").agg(F.count("*").alias("n"))
+    known = materialize(repeated.join(about, "source_id").mapInArrow(_headers, "source_id string, line string, wrong boolean"), "header_lines")
+    headers = materialize(lines.join(known, ["source_id", "line"]).select("chunk_id", "line_no", "wrong"), "headers")
+    needed = seen.where("kind = 'end' AND line <> ''").select("chunk_id", "line_no", "line")
+    held = needed.join(headers.select("chunk_id", "line_no", F.lit(1).alias("held")), ["chunk_id", "line_no"], "left")
+    unsure = held.groupBy("chunk_id", "line").agg(F.count("*").alias("n"), F.count("held").alias("held")).where("n = held").select("chunk_id").distinct()
     found = seen.where("kind IN ('page_number', 'misread')").select("chunk_id", F.col("kind").alias("noise"))
     found = found.unionByName(headers.select("chunk_id", F.lit("header").alias("noise")))
     found = found.unionByName(headers.where("wrong").select("chunk_id", F.lit("misread").alias("noise")))

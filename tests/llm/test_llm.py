@@ -338,6 +338,9 @@ CASES = {
     "formula": ("y = a + b x - \nc z", set()),
     "broken_misread": ("The esti-\nrnator explains the outcome.", {"hyphenation", "misread"}),
     "across": ("The esti-\n\nThe role of boosting in panels    12\n\nmator explains.", {"hyphenation", "header"}),
+    "across_two": ("The esti-\nThe role of boosting in panels    12\n\n13  |  Sivobexi and Mirrzune\nmator explains.", {"hyphenation", "header"}),
+    "across_many": ("The esti-\n\n\n\n\n\n\n- 12 -\n\n\n\nmator explains.", {"hyphenation", "page_number"}),
+    "across_text": ("The esti-\nThe Sample Stays\nmator explains.", set()),
     "misread": ("The estirnator explains the 0utcome.", {"misread"}),
     "number": ("It appeared in 2O15 with R2 and L1 norms.", {"misread"}),
     "symbols": ("Let R2 and T1 denote x0.", set()),
@@ -364,6 +367,18 @@ def test_noise(spark: SparkSession) -> None:
     assert scans.find_noise(rows, sources.limit(0))[0].where("noise = 'header'").count() == 0
 
 
+@pytest.mark.parametrize("title", ["Роль усиления в панелях: обзор", "パネルにおける推定の役割について", "what panels say about boosting.", "Panels " * 60])
+def test_headers_of_any_title(spark: SparkSession, title: str) -> None:
+    rows = chunks(spark, [{"id": "a", "source_id": "s", "content": f"{title}  12\nThe sample stays."}, {"id": "b", "source_id": "s", "content": "Something else 12\nThe sample stays."}])
+    sources = spark.createDataFrame([("s", title, ["Doe, J."])], "id string, title string, authors array<string>")
+    assert {tuple(r) for r in scans.find_noise(rows, sources)[0].collect()} == {("a", "header")}
+
+
+def test_confused_words() -> None:
+    assert all(scans.reads_as(a, b) for a, b in [("estirnator", "estimator"), ("0utc0me", "outcome"), ("m·odel", "model"), ("cliff", "diff"), ("same", "same")])
+    assert not any(scans.reads_as(a, b) for a, b in [("abc", "abd"), ("0utc0rne", "outcome"), ("model", "models")])
+
+
 def test_page_numbers_need_pages() -> None:
     assert not scans.is_page_number("12", None, None)
     assert scans.is_page_number("[l2]", 12, 12) and scans.is_page_number("Page 13", 12, None) and not scans.is_page_number("(12)", 12, 12)
