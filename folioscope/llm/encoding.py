@@ -20,7 +20,7 @@ ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\v
 _NONE = np.iinfo(np.int32).max
 _EMPTY = np.int64(-1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Pieces longer than this merge all places of their pair in a round, which gives the same ids in fewer rounds.
+#: Pieces longer than this merge all places of their pair in a round, which gives the same ids in fewer rounds (see ByteBpe.ordered).
 _LONG = 64
 #: Pieces kept by a worker; beyond, it starts anew.
 _KEPT = 400_000
@@ -88,6 +88,10 @@ class ByteBpe:
         left, right = (np.array([vocab[p[k]] for p in pairs], np.int32) for k in (0, 1))
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.table = PairTable(left, right)
+        # Merging all places of a pair at once equals merging them from the left if no merge comes before those that made its parts.
+        made = np.full(max(vocab.values()) + 1, -1, np.int64)
+        made[self.merged[::-1]] = np.arange(len(pairs))[::-1]
+        self.ordered = bool((np.maximum(made[left], made[right]) < np.arange(len(pairs))).all())
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece. Pieces of like length share a padded matrix."""
@@ -102,7 +106,7 @@ class ByteBpe:
                 matrix = np.full((len(part), width), -1, np.int32)
                 inside = np.arange(width) < sizes[part][:, None]
                 matrix[inside] = self.byte_ids[np.frombuffer(b"".join(pieces[r] for r in part), np.uint8)]
-                for r, ids in zip(part, self._merge(matrix, width > _LONG), strict=True):
+                for r, ids in zip(part, self._merge(matrix, self.ordered and width > _LONG), strict=True):
                     out[r] = ids
         return out
 

@@ -103,7 +103,7 @@ def draw(tokens: DataFrame, plan: DataFrame, seed: int = 11, block_size: int = 2
     blocks = F.ceil(F.col("documents") / block_size)
     rows = (
         tokens.where("n_tokens > 0")
-        .join(F.broadcast(plan.select("source", "copies", "documents")), "source")
+        .join(plan.select("source", "copies", "documents"), "source")
         .withColumn("whole", F.floor(goal + 1e-12).cast("int"))
         .select("source", "doc_id", "n_tokens", "whole", F.when(goal - F.col("whole") < 1e-9, 0.0).otherwise(goal - F.col("whole")).alias("part"), F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), (F.lit(True)).alias("open"))
     )

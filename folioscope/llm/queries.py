@@ -16,7 +16,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_oversized(table(spark, folder, "chunks")).dropDuplicates(["chunk_id", "piece_no"])
+    rows = table(spark, folder, "chunks").select("id", "content", "location")
+    return splitting.split_oversized(splitting.delivered_once(rows))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

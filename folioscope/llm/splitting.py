@@ -108,3 +108,10 @@ def split_oversized(chunks: DataFrame, limit: int = 2400, overlap: int = 200) ->
     )
     large = rows.where(size > limit).mapInArrow(lambda it: _split(it, limit, overlap), PIECE_COLUMNS)
     return small.unionByName(large)
+
+
+def delivered_once(chunks: DataFrame) -> DataFrame:
+    """Each chunk once: of rows of one id the first that comes. Only rows of repeated ids are shuffled; rows without an id all stay."""
+    repeated = chunks.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    once, twice = chunks.join(repeated, "id", "left_anti"), chunks.join(repeated, "id", "left_semi")
+    return once.unionByName(twice.dropDuplicates(["id"]))

@@ -76,6 +76,8 @@ def test_split_of_odd_rows(spark: SparkSession) -> None:
     assert {(r.chunk_id, r.n_pieces) for r in found.collect()} == {("a", 1), ("b", 1), ("c", 1), ("d", 2), (None, 2)}
     assert found.where("chunk_id IS NULL AND piece_no = 2").first().location.startswith("p. 2 (part 2 of 2")
     assert splitting.split_oversized(rows.limit(0)).count() == 0
+    more = rows.unionByName(rows.where("id IN ('c', 'd')")).unionByName(rows.where("id IS NULL"))
+    assert sorted(str(r.id) for r in splitting.delivered_once(more).collect()) == ["None", "None", "a", "b", "c", "d"]
 
 
 # Problem 2
@@ -396,6 +398,11 @@ def test_repair(spark: SparkSession) -> None:
 # Problem 6
 
 
+@pytest.mark.skipif(not FILE.exists(), reason="no vocabulary")
+def test_merges_build_on_earlier_ones() -> None:
+    assert encoding.ByteBpe(str(FILE)).ordered
+
+
 @pytest.mark.skipif(not FILE.exists(), reason="no vocabulary")
 def test_ids_equal_the_library(spark: SparkSession) -> None:
     tokenizers = pytest.importorskip("tokenizers")
