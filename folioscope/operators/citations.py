@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,15 +91,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
 
     All scores move together; parallel edges count each, edges to or from
     unknown nodes don't, what reaches a node without out-edges is lost. Edges
-    are combined by end and weighted once; a round is one join and one
-    aggregate, whose partial sums take the load of a much-cited node. Lineage
-    is cut every few rounds.
+    are combined by end and weighted once, and stay partitioned by their start, so a round moves only scores; its
+    partial sums take the load of a much-cited node. Lineage is cut every few rounds.
     """
     ids = nodes.select("id").distinct()
     known = edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     out = known.groupBy("src").agg(F.count("*").alias("out"))
     share = known.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
-    share = materialize(share, "shares")
+    spark = nodes.sparkSession
+    share = materialize(share, "shares").repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "src").persist(StorageLevel.MEMORY_AND_DISK)
     ids = materialize(ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))), "nodes")
     scores = ids.select("id", (F.lit(1.0) / F.col("n")).alias("score"))
     cut = None
@@ -107,6 +108,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
         scores = ids.join(moved.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.lit(1 - damping) / F.col("n") + damping * F.coalesce("moved", F.lit(0.0))).alias("score"))
         if k % cut_every == 0 or k == iterations:
             scores = cut = materialize(scores, "scores", cut)
+    share.unpersist()
     most = scores.agg(F.max("score").alias("most"))
     return scores.crossJoin(F.broadcast(most)).select("id", F.coalesce(F.try_divide("score", "most"), F.lit(0.0)).alias("authority"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.text import canonical_name
-from folioscope.functions.vectors import cosine
 from folioscope.operators.lineage import materialize
+from folioscope.operators.search import batch_vector_search
 from folioscope.operators.tables import repointed
 
 #: Names that are no concepts.
@@ -111,12 +111,10 @@ def nearest_between(left: DataFrame, right: DataFrame, threshold: float, per_row
     """a, b, cosine and rank: for each row of ``left`` its nearest of ``right`` with a cosine of at least ``threshold``.
 
     Both need id and embedding. Meant for a stated set on the left, such as a
-    domain's most linked concepts, against all rows of the right.
+    domain's most linked concepts or the orphans, against all rows of the right, block by block.
     """
-    pairs = right.select(F.col("id").alias("b"), F.col("embedding").alias("y")).crossJoin(left.select(F.col("id").alias("a"), F.col("embedding").alias("x"))).where("a <> b")
-    near = pairs.select("a", "b", cosine("x", "y").alias("cosine")).where(F.col("cosine") >= threshold)
-    by = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_row)
+    near = batch_vector_search(right.select("id", "embedding"), left.select("id", "embedding"), per_row, least=threshold)
+    return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "cosine", "rank")
 
 
 def domain_links(found: DataFrame, least: float = 0.9, same: float = 0.95) -> DataFrame:

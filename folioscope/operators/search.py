@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions.text import match_normal, tokens
-from folioscope.functions.vectors import cosine, half_similarity, is_sound
+from folioscope.functions.vectors import cosine_with, half_similarity, has_direction
 from folioscope.operators.lineage import materialize
 
 #: Weights of text and vector for each use of a search.
@@ -85,14 +85,13 @@ def search_text(chunks: DataFrame, query: SearchQuery) -> DataFrame:
 
 def vector_scores(chunks: DataFrame, embedding: list[float]) -> DataFrame:
     """``chunks`` with a sound embedding, and ``vector_score``."""
-    literal = F.array(*[F.lit(float(x)) for x in embedding])
-    return chunks.where(is_sound("embedding", len(embedding))).withColumn("vector_score", half_similarity(cosine("embedding", literal)))
+    return chunks.where(has_direction("embedding", len(embedding))).withColumn("vector_score", half_similarity(cosine_with("embedding", embedding)))
 
 
 def search_vector(chunks: DataFrame, query: SearchQuery) -> DataFrame:
-    """The chunks nearest to the embedding."""
-    rows = vector_scores(_of_domain(chunks, query), query.embedding or [])
-    return _ranked(rows.withColumn("combined_score", F.col("vector_score")), query.limit, ["id", "combined_score"])
+    """The chunks nearest to the embedding; a chunk delivered twice counts once, and only ids and scores are shuffled."""
+    rows = vector_scores(_of_domain(chunks, query), query.embedding or []).select("id", "vector_score")
+    return _ranked(rows.groupBy("id").agg(F.max("vector_score").alias("combined_score")), query.limit, ["id", "combined_score"])
 
 
 def min_max(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -169,8 +168,8 @@ def reranked(results: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 
 
-def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """query_id, id, cosine and rank of the k rows nearest to each query, exactly.
+def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048, least: float = -1.0) -> DataFrame:
+    """query_id, id, cosine and rank of the k rows nearest to each query, exactly, of a cosine of at least ``least``.
 
     Both sides need id and embedding, all of one length. Queries and rows are
     packed into blocks, each pair of blocks is one matrix product, and only the
@@ -180,33 +179,52 @@ def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int = 10, block:
     import numpy as np
     import pyarrow as pa
 
+    kind = dict(rows.dtypes)["id"]
+
     def packed(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), [np.asarray(v, np.float32) if v is not None else np.empty(0, np.float32) for v in batch.column(1).to_pylist()]
-            size = max(map(len, vectors), default=0)
-            good = [i for i, v in enumerate(vectors) if len(v) == size and size and np.isfinite(v).all() and v.any()]
-            for at in range(0, len(good), block):
-                part = good[at : at + block]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[part].astype(np.int64).tobytes()]), pa.array([np.stack([vectors[i] for i in part]).astype(np.float32).tobytes()])], ["ids", "vectors"])
+            sizes = np.asarray(batch.column(1).value_lengths().fill_null(-1))
+            size = int(sizes.max(initial=0))
+            at = np.flatnonzero(sizes == size) if size else np.empty(0, np.int64)
+            flat = batch.column(1).take(pa.array(at)).flatten().cast(pa.float32()).fill_null(float("nan"))
+            vectors = np.asarray(flat, np.float32).reshape(len(at), -1)
+            good = np.isfinite(vectors).all(1) & (vectors != 0).any(1)
+            at, vectors = at[good], vectors[good]
+            for i in range(0, len(at), block):
+                ids = batch.column(0).take(pa.array(at[i : i + block]))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([lists, pa.array([vectors[i : i + block].tobytes()])], ["ids", "vectors"])
+
+    def unit(raw, n):  # noqa: ANN001, ANN202
+        x = np.frombuffer(raw, np.float32).reshape(n, -1).astype(np.float64)
+        return x / np.linalg.norm(x, axis=1)[:, None]
 
     def products(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, x = np.frombuffer(r["q_vectors"], np.float32).reshape(len(q_ids), -1).astype(np.float64), np.frombuffer(r["vectors"], np.float32).reshape(len(ids), -1).astype(np.float64)
+            for r in range(batch.num_rows):
+                ids, q_ids = batch.column("ids")[r].values, batch.column("q_ids")[r].values
+                x, q = unit(batch.column("vectors")[r].as_py(), len(ids)), unit(batch.column("q_vectors")[r].as_py(), len(q_ids))
                 if q.shape[1] != x.shape[1]:
                     continue
-                cos = (q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
-                cos[q_ids[:, None] == ids[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(ids, cos.shape), -cos), axis=1)[:, :k]
-                a, b = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.ravel()
-                good = cos[a, b] > -2
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[good]]), pa.array(ids[b[good]]), pa.array(cos[a, b][good])], ["query_id", "id", "cosine"])
-
-    kind = "ids binary, vectors binary"
-    left = queries.select(F.col("id").cast("bigint"), "embedding").mapInArrow(packed, kind).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    right = rows.select(F.col("id").cast("bigint"), "embedding").mapInArrow(packed, kind)
-    found = right.crossJoin(left).mapInArrow(products, "query_id bigint, id bigint, cosine double")
+                names, q_names = (np.asarray(v.to_pylist()) for v in (ids, q_ids))
+                cos = q @ x.T
+                cos[q_names[:, None] == names[None, :]] = -2
+                if len(names) > 8 * k:  # only what reaches a query's k-th value can be among its best, ties included
+                    kth = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
+                    a, b = np.nonzero(cos >= kth)
+                else:
+                    a, b = (v.ravel() for v in np.indices(cos.shape))
+                order = np.lexsort((names[b], -cos[a, b], a))
+                a, b = a[order], b[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                good = (place < k) & (cos[a, b] > -2) & (cos[a, b] >= least)
+                a, b = a[good], b[good]
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(cos[a, b])], ["query_id", "id", "cosine"])
+
+    block_kind = f"ids array<{kind}>, vectors binary"
+    left = queries.select(F.col("id").cast(kind), "embedding").mapInArrow(packed, block_kind).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    right = rows.select("id", "embedding").mapInArrow(packed, block_kind)
+    found = right.crossJoin(left).mapInArrow(products, f"query_id {kind}, id {kind}, cosine double")
     by = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 

@@ -42,7 +42,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     parts = table(spark, folder, "part").agg(F.max("p_partkey").alias("n"))
     kind = F.get(F.array(*map(F.lit, TYPES)), (F.col("l_suppkey") % 7).cast("int"))
-    rows = line.where("l_linenumber = 1").crossJoin(F.broadcast(parts)).select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % F.col("n") + 1).alias("dst"), kind.alias("type"), (1 - F.col("l_discount")).alias("strength"))
+    rows = line.crossJoin(F.broadcast(parts)).select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % F.col("n") + 1).alias("dst"), kind.alias("type"), (1 - F.col("l_discount")).alias("strength"))
     return rows.where("src <> dst").groupBy("src", "dst", "type").agg(F.max("strength").alias("strength"))
 
 
@@ -50,7 +50,7 @@ EDGES_SQL = """e AS (
     SELECT src, dst, type, max(strength) AS strength FROM (
         SELECT l_partkey AS src, l_orderkey % (SELECT max(p_partkey) FROM part) + 1 AS dst,
             ['REQUIRES', 'USES', 'ADDRESSES', 'EXTENDS', 'SPECIALIZES', 'ALTERNATIVE_TO', 'RELATED_TO'][CAST(l_suppkey % 7 AS INT) + 1] AS type, 1 - l_discount AS strength
-        FROM lineitem WHERE l_linenumber = 1) WHERE src <> dst GROUP BY ALL)"""
+        FROM lineitem) WHERE src <> dst GROUP BY ALL)"""
 
 WEIGHT_SQL = "CASE type WHEN 'REQUIRES' THEN 1.0 WHEN 'EXTENDS' THEN 0.9 WHEN 'USES' THEN 0.8 WHEN 'ADDRESSES' THEN 0.7 WHEN 'SPECIALIZES' THEN 0.6 WHEN 'GENERALIZES' THEN 0.6 WHEN 'ALTERNATIVE_TO' THEN 0.5 WHEN 'RELATED_TO' THEN 0.4 ELSE 0.5 END"
 

@@ -36,11 +36,11 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_vector(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.search_vector(corpus.chunks(spark, folder), _query()), ["combined_score"], ["id", "rank"])
+    return _rounded(S.search_vector(table(spark, folder, "chunks"), _query()), ["combined_score"], ["id", "rank"])
 
 
 def search_vector_in_domain(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.search_vector(corpus.chunks(spark, folder), _query(domain_id="time_series")), ["combined_score"], ["id", "rank"])
+    return _rounded(S.search_vector(table(spark, folder, "chunks"), _query(domain_id="time_series")), ["combined_score"], ["id", "rank"])
 
 
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
