@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ def tokens(text: Column | str) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
+def words_of(text: str) -> list[str]:
+    """The tokens of one text, outside a table."""
+    return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in STOP_WORDS]
+
+
 def canonical_name(name: Column | str) -> Column:
     """The name by which concepts are one: case, spaces, abbreviations, parentheses, punctuation, hyphens and leading articles put in order."""
     plain = F.trim(F.lower(_col(name)))

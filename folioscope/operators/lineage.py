@@ -27,17 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", replaces: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     What follows neither recomputes ``df`` nor depends on the executor that
     computed it, and the planner knows the table's true size. ``replaces`` is a
     table of this kind that nothing needs any more, such as an earlier round of
     a loop: it is removed. The rest is removed when the driver's Python ends.
+    ``by`` is a column whose values get folders of their own, which a filter prunes.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))

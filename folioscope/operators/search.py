@@ -5,13 +5,15 @@ Similarities of search results are (1 + cosine) / 2. Ties always break by id.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.text import match_normal, tokens
+from folioscope.functions.stems import stem, stem_of
+from folioscope.functions.text import match_normal, tokens, words_of
 from folioscope.functions.vectors import cosine_with, half_similarity, has_direction
 from folioscope.operators.lineage import materialize
 
@@ -19,6 +21,7 @@ from folioscope.operators.lineage import materialize
 CONTEXT_WEIGHTS = {"building": (0.2, 0.8), "auditing": (0.5, 0.5), "balanced": (0.3, 0.7)}
 K1, B = 1.2, 0.75
 LOCATION_BOOST, CONTENT_BOOST = 1.0, 0.4
+EXPANSION_WEIGHT = 0.4
 
 
 @dataclass(frozen=True)
@@ -47,36 +50,84 @@ class SearchQuery:
         return {k: v for k, v in self.weights.items() if has[k] and v > 0}
 
 
-def text_scores(chunks: DataFrame, text: str) -> DataFrame:
-    """``chunks`` with ``text_score``: BM25 over location and content, 0 unless all terms of the text occur.
+def _stems_of(text: str) -> list[str]:
+    return sorted({stem_of(w) for w in words_of(text)})
 
-    Term counts come from an expression on each row and the corpus statistics
+
+def _bm25(tf: Column, size: Column, mean: Column, boost: float) -> Column:
+    return F.lit(boost) * F.coalesce(F.try_divide(tf * (K1 + 1), tf + K1 * (1 - B + B * F.coalesce(F.try_divide(size, mean), F.lit(0.0)))), F.lit(0.0))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def text_scores(chunks: DataFrame, text: str, expansions: list[str] | None = None) -> DataFrame:
+    """``chunks`` with ``text_score``: BM25 of stems over location and content, 0 unless all stems of the text occur.
+
+    With ``expansions`` any stem counts, those of the expansions by EXPANSION_WEIGHT.
+    Only words that begin like a stem are stemmed. Counts come from an expression on each row and the corpus statistics
     from one aggregate of one row, so nothing is exploded or shuffled.
     """
-    spark = chunks.sparkSession
-    terms = sorted(set(spark.range(1).select(tokens(F.lit(text))).first()[0]))
+    weights = dict.fromkeys(_stems_of(text), 1.0)
+    for e in expansions or []:
+        weights |= {t: EXPANSION_WEIGHT for t in _stems_of(e) if t not in weights}
+    terms = sorted(weights)
     if not terms:
         return chunks.withColumn("text_score", F.lit(0.0))
-    rows = chunks.withColumn("__c", tokens("content")).withColumn("__l", tokens("location"))
+    begins = "^(" + "|".join(re.escape(t[: max(1, len(t) - 1)]) for t in terms) + ")"
+    rows = chunks.withColumn("__wc", tokens("content")).withColumn("__wl", tokens("location"))
+    for f in "cl":
+        rows = rows.withColumn(f"__{f}", F.transform(F.filter(f"__w{f}", lambda w: w.rlike(begins)), stem)).withColumn(f"__{f}n", F.size(f"__w{f}").cast("double"))
     count = lambda words, t: F.size(F.filter(words, lambda w: w == t)).cast("double")
     rows = rows.withColumn("__tf", F.array(*[F.struct(count(F.col("__l"), t).alias("l"), count(F.col("__c"), t).alias("c")) for t in terms]))
-    rows = rows.withColumn("__cn", F.size("__c").cast("double")).withColumn("__ln", F.size("__l").cast("double"))
     has = [(F.col("__tf")[i]["l"] + F.col("__tf")[i]["c"]) > 0 for i in range(len(terms))]
     stats = rows.agg(F.count("*").cast("double").alias("__n"), F.avg("__cn").alias("__ca"), F.avg("__ln").alias("__la"), F.array(*[F.count_if(h).cast("double") for h in has]).alias("__df"))
-
-    def part(i: int, name: str, boost: float) -> Column:
-        tf, size, mean = F.col("__tf")[i][name], F.col(f"__{name}n"), F.col(f"__{name}a")
-        return F.lit(boost) * F.coalesce(F.try_divide(tf * (K1 + 1), tf + K1 * (1 - B + B * F.coalesce(F.try_divide(size, mean), F.lit(0.0)))), F.lit(0.0))
-
-    idf = [F.log1p((F.col("__n") - F.col("__df")[i] + 0.5) / (F.col("__df")[i] + 0.5)) for i in range(len(terms))]
     total, every = F.lit(0.0), F.lit(True)
-    for i in range(len(terms)):
-        total = total + idf[i] * (part(i, "l", LOCATION_BOOST) + part(i, "c", CONTENT_BOOST))
+    for i, t in enumerate(terms):
+        parts = [_bm25(F.col("__tf")[i][f], F.col(f"__{f}n"), F.col(f"__{f}a"), boost) for f, boost in (("l", LOCATION_BOOST), ("c", CONTENT_BOOST))]
+        total = total + F.lit(weights[t]) * _idf(F.col("__n"), F.col("__df")[i]) * (parts[0] + parts[1])
         every = every & has[i]
-    scored = rows.crossJoin(F.broadcast(stats)).withColumn("text_score", F.when(every, total).otherwise(0.0))
+    scored = rows.crossJoin(F.broadcast(stats)).withColumn("text_score", total if expansions else F.when(every, total).otherwise(0.0))
     return scored.select(*chunks.columns, "text_score")
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored index of stems: postings (bucket, term, id, l, c, ln, cn) in folders by bucket, and one row of statistics (n, la, ca)."""
+
+    postings: DataFrame
+    statistics: DataFrame
+    buckets: int
+
+
+def build_text_index(chunks: DataFrame, buckets: int = 64) -> TextIndex:
+    """The index of chunks (id, content, location), each once. A task counts its chunks' stems before anything is shuffled; words are stemmed once for each that occurs."""
+    size = lambda f: F.size(tokens(f))
+    about = chunks.select("id", size("location").alias("ln"), size("content").alias("cn"), F.explode_outer(F.concat(*[F.transform(tokens(f), lambda w, k=k: F.struct(w.alias("word"), F.lit(k).alias("field"))) for k, f in enumerate(("location", "content"))])).alias("t"))
+    counted = materialize(about.groupBy("id", "ln", "cn", "t.word").agg(F.count_if(F.col("t.field") == 0).alias("l"), F.count_if(F.col("t.field") == 1).alias("c")), "words")
+    stems = counted.select("word").where("word IS NOT NULL").distinct().withColumn("term", stem(F.col("word")))
+    postings = counted.join(stems, "word").groupBy("term", "id", "ln", "cn").agg(F.sum("l").alias("l"), F.sum("c").alias("c"))
+    postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    stored = materialize(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id"), "postings", by="bucket")
+    each = counted.select("id", "ln", "cn").distinct()
+    statistics = materialize(each.agg(F.count("*").cast("double").alias("n"), F.avg("ln").alias("la"), F.avg("cn").alias("ca")), "statistics")
+    return TextIndex(stored, statistics, buckets)
+
+
+def search_index(index: TextIndex, text: str, limit: int = 10) -> DataFrame:
+    """As search_text, from the index: only the folders of the text's stems are read."""
+    terms = _stems_of(text)
+    spark = index.postings.sparkSession
+    at = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(index.buckets)).cast("int")).collect()]
+    held = index.postings.where(F.col("bucket").isin(at) & F.col("term").isin(terms))
+    df = held.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    rows = held.join(df, "term").crossJoin(F.broadcast(index.statistics))
+    part = _idf(F.col("n"), F.col("df")) * (_bm25(F.col("l").cast("double"), F.col("ln").cast("double"), F.col("la"), LOCATION_BOOST) + _bm25(F.col("c").cast("double"), F.col("cn").cast("double"), F.col("ca"), CONTENT_BOOST))
+    found = rows.groupBy("id").agg(F.sum(part).alias("combined_score"), F.count("*").alias("met")).where(F.col("met") == len(terms))
+    return _ranked(found, limit, ["id", "combined_score"])
+
+
 def search_text(chunks: DataFrame, query: SearchQuery) -> DataFrame:
     """The best chunks by text; those without an embedding count too."""
     rows = _of_domain(text_scores(chunks, query.text or ""), query).where("text_score > 0")
@@ -187,7 +238,7 @@ def batch_vector_search(rows: DataFrame, queries: DataFrame, k: int = 10, block:
             size = int(sizes.max(initial=0))
             at = np.flatnonzero(sizes == size) if size else np.empty(0, np.int64)
             flat = batch.column(1).take(pa.array(at)).flatten().cast(pa.float32()).fill_null(float("nan"))
-            vectors = np.asarray(flat, np.float32).reshape(len(at), -1)
+            vectors = np.asarray(flat, np.float32).reshape(len(at), max(size, 1))
             good = np.isfinite(vectors).all(1) & (vectors != 0).any(1)
             at, vectors = at[good], vectors[good]
             for i in range(0, len(at), block):
@@ -239,6 +290,31 @@ def with_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return met.groupBy("query").agg(F.sort_array(F.collect_set(fresh)).alias("expansions"))
 
 
+def expansions_of(text: str, synonyms: DataFrame, concepts: DataFrame | None = None, edges: DataFrame | None = None, most: int = 10) -> list[str]:
+    """What a search of ``text`` also looks for: synonyms of its terms, then names of concepts one edge from those it names, the strongest first; at most ``most``."""
+    spark = synonyms.sparkSession
+    query = spark.createDataFrame([(text,)], "query string")
+    found = with_synonyms(query, synonyms).first()["expansions"]
+    if concepts is not None and edges is not None:
+        named = query_concepts(concepts, query).select(F.col("id").alias("src"))
+        both = edges.select("src", "dst", "strength").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
+        near = both.join(named, "src").groupBy("dst").agg(F.max("strength").alias("strength")).join(concepts.select(F.col("id").alias("dst"), F.lower("name").alias("name")), "dst")
+        found += [r["name"] for r in near.orderBy(F.desc("strength"), "name").limit(most).collect()]
+    return list(dict.fromkeys(e for e in found if e not in text.lower()))[:most]
+
+
+def search_expanded(chunks: DataFrame, query: SearchQuery, expansions: list[str]) -> DataFrame:
+    """The best chunks by a text and its expansions (see text_scores), of which any may occur, fused with the vector if the query has one."""
+    rows = text_scores(_of_domain(chunks, query), query.text or "", expansions).where("text_score > 0")
+    if not query.embedding:
+        return _ranked(rows.withColumn("combined_score", F.col("text_score")), query.limit, ["id", "combined_score"])
+    rows = materialize(vector_scores(rows, query.embedding).select("id", "text_score", "vector_score"), "scores")
+    rows = min_max(rows, {"text_score": "__t", "vector_score": "__v"})
+    weights = query.active()
+    fused = (weights.get("text", 0.0) * F.col("__t") + weights.get("vector", 0.0) * F.col("__v")) / (weights.get("text", 0.0) + weights.get("vector", 0.0))
+    return _ranked(rows.withColumn("combined_score", fused), query.limit, ["id", "text_score", "vector_score", "combined_score"])
+
+
 def weighted_terms(query: str, expansions: list[str]) -> Column:
     """The query for a weighted text index: own words :A, words of expansions :B, joined by |."""
     marked = lambda text, mark: F.transform(F.filter(F.split(F.regexp_replace(F.lit(text.lower()), r"[^\w\s\-]", ""), r"\s+"), lambda w: w != ""), lambda w: F.concat(w, F.lit(f":{mark}")))

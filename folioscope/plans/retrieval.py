@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.stems import stem_of, stem_sql
 from folioscope.functions.text import STOP_WORDS
 from folioscope.functions.vectors import cosine, is_sound
 from folioscope.operators import search as S
@@ -13,7 +14,9 @@ from folioscope.plans.corpus import CHUNKS_SQL
 from folioscope.sources.tables import table
 
 TEXT = "importance weighted regression"
-TERMS = TEXT.split()
+TERMS = [stem_of(w) for w in TEXT.split()]
+EXPANSIONS = ["estimation", "kernel smoothing"]
+WEIGHTS = dict.fromkeys([stem_of(w) for e in EXPANSIONS for w in e.split()], S.EXPANSION_WEIGHT) | dict.fromkeys(TERMS, 1.0)
 #: The embedding of the query: a fixed direction.
 VECTOR = [((7 * i + 3) % 11 - 5) / 10 for i in range(64)]
 _VECTOR_SQL = "CAST([" + ", ".join(map(str, VECTOR)) + "] AS DOUBLE[])"
@@ -35,6 +38,30 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(S.search_text(corpus.chunks(spark, folder), _query()), ["combined_score"], ["id", "rank"])
 
 
+def search_text_inflected(spark: SparkSession, folder: str) -> DataFrame:
+    found = S.search_text(corpus.chunks(spark, folder), _query(text="important weights of regressions"))
+    return _rounded(found, ["combined_score"], ["id", "rank"])
+
+
+def search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    found = S.search_index(S.build_text_index(corpus.chunks(spark, folder)), TEXT, 20)
+    return _rounded(found, ["combined_score"], ["id", "rank"])
+
+
+def _synonyms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("regression", EXPANSIONS[:1]), ("weighted regression", EXPANSIONS[1:]), ("auction", ["bidding"])], "term string, synonyms array<string>")
+
+
+def search_expanded(spark: SparkSession, folder: str) -> DataFrame:
+    found = S.search_expanded(corpus.chunks(spark, folder), _query(embedding=None), S.expansions_of(TEXT, _synonyms(spark)))
+    return _rounded(found, ["combined_score"], ["id", "rank"])
+
+
+def search_expanded_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    found = S.search_expanded(corpus.chunks(spark, folder), _query(), S.expansions_of(TEXT, _synonyms(spark)))
+    return _rounded(found, ["text_score", "vector_score", "combined_score"], ["id", "rank"])
+
+
 def search_vector(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(S.search_vector(table(spark, folder, "chunks"), _query()), ["combined_score"], ["id", "rank"])
 
@@ -109,16 +136,19 @@ _TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')
 _SOUND = "coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)"
 
 
-def _text_sql(where: str = "true") -> str:
-    """Scores by BM25 over location and content."""
-    tf = ", ".join(f"CAST(len(list_filter({f}, lambda w: w = '{t}')) AS DOUBLE) AS {f}{i}" for f in "lc" for i, t in enumerate(sorted(TERMS)))
-    k = range(len(TERMS))
+def _text_sql(where: str = "true", weights: dict[str, float] | None = None) -> str:
+    """Scores by BM25 of stems over location and content; with weights any of their terms counts, without them all of TERMS must occur."""
+    terms = sorted(weights or TERMS)
+    k = range(len(terms))
+    tf = ", ".join(f"CAST(len(list_filter({f}, lambda w: list_contains(s{i}, w))) AS DOUBLE) AS {f}{i}" for f in "lc" for i in k)
     part = lambda i, f, boost: f"{boost} * coalesce({f}{i} * 2.2 / nullif({f}{i} + 1.2 * (0.25 + 0.75 * coalesce({f}n / nullif({f}a, 0), 0)), 0), 0)"
-    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * ({part(i, 'l', 1.0)} + {part(i, 'c', 0.4)})" for i in k)
-    every = " AND ".join(f"l{i} + c{i} > 0" for i in k)
+    score = " + ".join(f"{(weights or {}).get(t, 1.0)} * ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * ({part(i, 'l', 1.0)} + {part(i, 'c', 0.4)})" for i, t in enumerate(terms))
+    every = "true" if weights else " AND ".join(f"l{i} + c{i} > 0" for i in k)
     return f"""{CHUNKS_SQL},
     w AS (SELECT id, source_id, embedding, {_TOKENS.format("location")} AS l, {_TOKENS.format("content")} AS c FROM c WHERE {where}),
-    tf AS (SELECT *, CAST(len(l) AS DOUBLE) AS ln, CAST(len(c) AS DOUBLE) AS cn, {tf} FROM w),
+    vw AS (SELECT w, {stem_sql("w")} AS s FROM (SELECT DISTINCT unnest(l || c) AS w FROM w)),
+    sv AS (SELECT {", ".join(f"coalesce(list(w) FILTER (s = '{t}'), []) AS s{i}" for i, t in enumerate(terms))} FROM vw),
+    tf AS (SELECT *, CAST(len(l) AS DOUBLE) AS ln, CAST(len(c) AS DOUBLE) AS cn, {tf} FROM w, sv),
     st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(ln) AS la, avg(cn) AS ca, {", ".join(f"CAST(count(*) FILTER (l{i} + c{i} > 0) AS DOUBLE) AS d{i}" for i in k)} FROM tf),
     t AS (SELECT id, source_id, embedding, CASE WHEN {every} THEN {score} ELSE 0.0 END AS text_score FROM tf, st)"""
 
@@ -139,10 +169,16 @@ _FUSED = f"""WITH {_HYBRID},
     j AS (SELECT b.id, text_score, vector_score, coalesce(CAST(citation_authority AS DOUBLE), 0) AS citation_score FROM b LEFT JOIN sources s ON s.id = b.source_id),
     """
 
-QUERIES = {f.__name__: f for f in (search_text, search_vector, search_vector_in_domain, search_hybrid, search_hybrid_of_type, search_hybrid_rrf, search_fused, search_fused_normalized, search_reranked, batch_vector_search, synonym_expansion, concept_search, query_concepts, similar_vectors, sound_embeddings)}
+QUERIES = {f.__name__: f for f in (search_text, search_text_inflected, search_indexed, search_expanded, search_expanded_hybrid, search_vector, search_vector_in_domain, search_hybrid, search_hybrid_of_type, search_hybrid_rrf, search_fused, search_fused_normalized, search_reranked, batch_vector_search, synonym_expansion, concept_search, query_concepts, similar_vectors, sound_embeddings)}
 
 ORACLE = {
     "search_text": f"WITH {_text_sql()} " + _top("SELECT id, text_score AS s FROM t WHERE text_score > 0", "round(s, 6) AS combined_score"),
+    "search_text_inflected": f"WITH {_text_sql()} " + _top("SELECT id, text_score AS s FROM t WHERE text_score > 0", "round(s, 6) AS combined_score"),
+    "search_indexed": f"WITH {_text_sql()} " + _top("SELECT id, text_score AS s FROM t WHERE text_score > 0", "round(s, 6) AS combined_score"),
+    "search_expanded": f"WITH {_text_sql(weights=WEIGHTS)} " + _top("SELECT id, text_score AS s FROM t WHERE text_score > 0", "round(s, 6) AS combined_score"),
+    "search_expanded_hybrid": f"""WITH {_text_sql(weights=WEIGHTS)}, v AS (SELECT id, text_score, {_VECTOR_SCORE} AS vector_score FROM t WHERE text_score > 0 AND {_SOUND}),
+        mm AS (SELECT min(text_score) AS t0, max(text_score) AS t1, min(vector_score) AS v0, max(vector_score) AS v1 FROM v)"""
+    + _top("SELECT id, text_score, vector_score, 0.3 * (text_score - t0) / (t1 - t0) + 0.7 * (vector_score - v0) / (v1 - v0) AS s FROM v, mm", "round(text_score, 6) AS text_score, round(vector_score, 6) AS vector_score, round(s, 6) AS combined_score"),
     "search_vector": f"WITH {CHUNKS_SQL} " + _top(f"SELECT id, {_VECTOR_SCORE} AS s FROM c WHERE {_SOUND}", "round(s, 6) AS combined_score"),
     "search_vector_in_domain": f"WITH {CHUNKS_SQL} " + _top(f"SELECT id, {_VECTOR_SCORE} AS s FROM c WHERE domain_id = 'time_series' AND {_SOUND}", "round(s, 6) AS combined_score"),
     "search_hybrid": f"WITH {_HYBRID} " + _top("SELECT id, text_score, vector_score, 0.3 * ts + 0.7 * vs AS s FROM h", "round(text_score, 6) AS text_score, round(vector_score, 6) AS vector_score, round(s, 6) AS combined_score"),

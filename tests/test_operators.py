@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import stems
 from folioscope.functions.text import bibtex_escaped, canonical_name, jaccard, trigrams
 from folioscope.functions.vectors import cosine, is_sound
 from folioscope.operators import citations, discovery, evaluation, graph, passages, quality, search, tables
@@ -216,3 +217,24 @@ def test_rollup_and_dead_letter_streams(spark: SparkSession, tmp_path: Path) ->
     queues.with_dead_letters(read(), lambda df: df.withColumn("ok", F.col("duration") > 0), write, str(tmp_path / "dead"), str(tmp_path / "c2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "good0")).count() == 1
     assert spark.read.json(str(tmp_path / "dead")).count() == 1
+
+
+@pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("feed", "feed"), ("plastered", "plaster"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("vietnamization", "vietnam"), ("sensitivity", "sensit"), ("replacement", "replac"), ("adjustment", "adjust"), ("adoption", "adopt"), ("regressions", "regress"), ("as", "as"), ("x2s", "x2s")])
+def test_stems(spark: SparkSession, word: str, want: str) -> None:
+    assert stems.stem_of(word) == want
+    assert spark.createDataFrame([(word,)], "w string").select(stems.stem(F.col("w"))).first()[0] == want
+
+
+def test_text_index_and_expansion(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([("a", "Regressions of panels", "p. 1", [1.0, 0.0]), ("b", "a regression", None, [0.0, 1.0]), ("c", "kernel sums", "", None), ("d", None, None, None)], "id string, content string, location string, embedding array<double>")
+    index = search.build_text_index(rows, 4)
+    assert {r.id for r in search.search_index(index, "regressing").collect()} == {"a", "b"}
+    assert [r.id for r in search.search_index(index, "panel regression").collect()] == ["a"]
+    assert search.search_index(index, "nothing").count() == 0
+    synonyms = spark.createDataFrame([("regression", ["kernel"])], "term string, synonyms array<string>")
+    concepts = spark.createDataFrame([(1, "regression", "Regression"), (2, "panel", "Panel")], "id bigint, canonical_name string, name string")
+    edges = spark.createDataFrame([(2, 1, 0.5)], "src bigint, dst bigint, strength double")
+    more = search.expansions_of("a regression", synonyms, concepts, edges)
+    assert more == ["kernel", "panel"]
+    found = [r.id for r in search.search_expanded(rows, search.SearchQuery("a regression"), more).collect()]
+    assert set(found) == {"a", "b", "c"} and found[-1] == "c"
