@@ -49,7 +49,7 @@ ABBREVIATIONS = {
     "nuc": "no unmeasured confounding",
 }
 #: Replacements of BibTeX's special characters, in order.
-BIBTEX_ESCAPES = [("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")]
+BIBTEX_ESCAPES = [("\\", r"\\"), ("&", r"\&"), ("%", r"\%"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")]
 
 
 def _col(c: Column | str) -> Column:
@@ -67,14 +67,16 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in STOP_WORDS]
 
 
-def canonical_name(name: Column | str) -> Column:
-    """The name by which concepts are one: case, spaces, abbreviations, parentheses, punctuation, hyphens and leading articles put in order."""
+def canonical_name(name: Column | str, abbreviations: dict[str, str] | None = None) -> Column:
+    """The name by which concepts are one: case, spaces, abbreviations, parentheses, punctuation, hyphens and leading articles put in order.
+
+    ``abbreviations`` are those of a domain (a map from the short to the long form), by default ABBREVIATIONS. Letters of any script stay.
+    """
     plain = F.trim(F.lower(_col(name)))
-    known = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    plain = F.coalesce(F.element_at(known, plain), plain)
-    plain = F.regexp_replace(plain, r"\s+", " ")
-    plain = F.regexp_replace(plain, r"\([^)]*\)", "")
-    plain = F.regexp_replace(plain, r"[^a-z0-9\s\-]", "")
+    known = F.create_map(*[F.lit(x) for pair in (ABBREVIATIONS if abbreviations is None else abbreviations).items() for x in pair]) if abbreviations != {} else None
+    plain = plain if known is None else F.coalesce(F.element_at(known, plain), plain)
+    plain = F.trim(F.regexp_replace(plain, r"\s*\([^)]*\)\s*", " "))
+    plain = F.regexp_replace(plain, r"[^\p{L}\p{N}_\s\-]", "")
     plain = F.regexp_replace(plain, "-", " ")
     plain = F.regexp_replace(F.trim(plain), r"^(the|a|an)\s+", "")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
@@ -104,13 +106,11 @@ def clean(text: Column | str) -> Column:
 
 
 def bibtex_escaped(text: Column | str) -> Column:
-    """Special characters of BibTeX escaped, each character once."""
-    out = F.regexp_replace(_col(text), r"\\", "\x00")
-    for plain, escaped in BIBTEX_ESCAPES[1:8]:
-        out = F.replace(out, F.lit(plain), F.lit(escaped))
-    for plain, escaped in BIBTEX_ESCAPES[8:]:
+    """Special characters of BibTeX escaped, one after the other."""
+    out = _col(text)
+    for plain, escaped in BIBTEX_ESCAPES:
         out = F.replace(out, F.lit(plain), F.lit(escaped))
-    return F.replace(out, F.lit("\x00"), F.lit(BIBTEX_ESCAPES[0][1]))
+    return out
 
 
 def file_name(text: Column | str, most: int = 50) -> Column:

@@ -36,6 +36,16 @@ def without_duplicates(chunks: DataFrame, links: DataFrame, mapping: DataFrame)
     return chunks.join(gone, "id", "left_anti"), repointed(links, "chunk_id", mapping).dropDuplicates()
 
 
+def repointed_evidence(edges: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    """Edges whose arrays of chunk ids name the chunks that stay (mapping: old, new), each once; null arrays stay null."""
+    rows = edges.withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows, "evidence")
+    each = rows.select("__row", F.explode(column).alias("old")).join(mapping, "old", "left")
+    lists = each.groupBy("__row").agg(F.sort_array(F.collect_set(F.coalesce("new", "old"))).alias("__ids"))
+    fixed = F.when(F.col(column).isNotNull(), F.coalesce("__ids", F.col(column))).alias(column)
+    return rows.join(lists, "__row", "left").select(*[fixed if c == column else F.col(c) for c in edges.columns])
+
+
 def new_or_known(extracted: DataFrame, known: DataFrame) -> DataFrame:
     """position, canonical, is_new and match of extracted names (position, name): the first of a canonical name is new unless it is known; later ones match it."""
     rows = extracted.withColumn("canonical", canonical_name("name"))

@@ -104,9 +104,11 @@ class TextIndex:
 def build_text_index(chunks: DataFrame, buckets: int = 64) -> TextIndex:
     """The index of chunks (id, content, location), each once. A task counts its chunks' stems before anything is shuffled; words are stemmed once for each that occurs."""
     size = lambda f: F.size(tokens(f))
-    about = chunks.select("id", size("location").alias("ln"), size("content").alias("cn"), F.explode_outer(F.concat(*[F.transform(tokens(f), lambda w, k=k: F.struct(w.alias("word"), F.lit(k).alias("field"))) for k, f in enumerate(("location", "content"))])).alias("t"))
-    counted = materialize(about.groupBy("id", "ln", "cn", "t.word").agg(F.count_if(F.col("t.field") == 0).alias("l"), F.count_if(F.col("t.field") == 1).alias("c")), "words")
-    stems = counted.select("word").where("word IS NOT NULL").distinct().withColumn("term", stem(F.col("word")))
+    of_field = lambda f: F.transform(tokens(f), lambda w: F.struct(w.alias("word"), F.lit(f).alias("field")))
+    about = chunks.select("id", size("location").alias("ln"), size("content").alias("cn"), F.concat(of_field("location"), of_field("content")).alias("t"))
+    about = about.select("id", "ln", "cn", F.explode_outer("t").alias("t"))  # sizes come before, else each exploded row would count them anew
+    counted = materialize(about.groupBy("id", "ln", "cn", "t.word").agg(F.count_if(F.col("t.field") == "location").alias("l"), F.count_if(F.col("t.field") == "content").alias("c")), "words")
+    stems = materialize(counted.select("word").where("word IS NOT NULL").distinct().withColumn("term", F.get(F.transform(F.array("word"), stem), F.lit(0))), "stems")
     postings = counted.join(stems, "word").groupBy("term", "id", "ln", "cn").agg(F.sum("l").alias("l"), F.sum("c").alias("c"))
     postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     stored = materialize(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id"), "postings", by="bucket")

@@ -13,7 +13,7 @@ from folioscope.operators import quality as Q
 from folioscope.operators import statistics as S
 from folioscope.operators import tables as T
 from folioscope.plans import corpus
-from folioscope.plans.corpus import CHUNKS_SQL, EDGES_SQL, LINKS_SQL, QUEUE_SQL
+from folioscope.plans.corpus import CHUNKS_SQL, EDGES_SQL, LINKS_SQL, PAPERS_SQL, QUEUE_SQL
 from folioscope.sources import exports as X
 from folioscope.sources.tables import table
 
@@ -62,16 +62,29 @@ def merged_metadata(spark: SparkSession, folder: str) -> DataFrame:
 # Duplicates, merges, orphans
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as chunks of a language, some of them equal copies."""
+    d = table(spark, folder, "documents")
+    page = F.when(F.col("doc_id") % 3 > 0, (F.col("n_chars") % 5).cast("int"))
+    return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("source_id"), F.sha2("text", 256).alias("content_hash"), page.alias("page_start"), "created_at", "domain_id")
+
+
 def duplicate_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.duplicate_chunks(corpus.chunks(spark, folder))
+    return Q.duplicate_chunks(_documents(spark, folder))
 
 
 def duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.duplicate_groups(corpus.chunks(spark, folder))
+    return Q.duplicate_groups(_documents(spark, folder))
+
+
+def duplicate_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    c = _documents(spark, folder)
+    edges = c.groupBy("source_id").agg(F.sort_array(F.collect_set("id")).alias("evidence_chunk_ids"))
+    return Q.repointed_evidence(edges, Q.duplicate_chunks(c), "evidence_chunk_ids").select("source_id", F.array_join("evidence_chunk_ids", ",").alias("evidence"))
 
 
 def duplicates_removed(spark: SparkSession, folder: str) -> DataFrame:
-    c = corpus.chunks(spark, folder)
+    c = _documents(spark, folder)
     links = c.select(F.col("id").alias("chunk_id"), F.col("domain_id").alias("concept_id"))
     kept, moved = Q.without_duplicates(c, links, Q.duplicate_chunks(c))
     return kept.agg(F.count("*").alias("chunks")).crossJoin(moved.agg(F.count("*").alias("links")))
@@ -304,7 +317,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         insert_new_customers, insert_counts, replace_customers, merge_customers, delete_cascade, page_of_chunks, merged_metadata,
-        duplicate_chunks, duplicate_groups, duplicates_removed, new_or_known, plural_pairs, hyphen_pairs, article_pairs, merge_chains, merged_edges, orphan_concepts, prunable_concepts, domain_links, chunk_domains,
+        duplicate_chunks, duplicate_groups, duplicate_evidence, duplicates_removed, new_or_known, plural_pairs, hyphen_pairs, article_pairs, merge_chains, merged_edges, orphan_concepts, prunable_concepts, domain_links, chunk_domains,
         table_counts, sources_by_type, confidence_bands, citation_coverage, domain_statistics, log_statistics, queue_statistics, duration_percentiles, extraction_metrics, frequent_concepts,
         chunk_filter, filter_statistics, chunk_metrics, packed_chunks, sentences, headings, last_headings, canonical_names, title_tokens, title_overlap, bibtex_keys, source_bibliography, citation_bibliography, page_texts, recognition_needed,
         graph_assumptions, audited_assumptions, retrieval_metrics, edge_metrics, confidence_precision, expected_edges,
@@ -326,7 +339,23 @@ _ASSUMPTIONS = f"""{EDGES_SQL}, {CONCEPTS_SQL},
     g AS (SELECT src AS method, dst AS assumption, any_value(name) AS name, CASE WHEN min(CASE type WHEN 'REQUIRES' THEN 0 ELSE 1 END) = 0 THEN 'critical' ELSE 'standard' END AS importance, max(strength) AS strength
         FROM e JOIN k ON k.id = dst WHERE type IN ('REQUIRES', 'USES') AND concept_type = 'ASSUMPTION' AND {{0}} GROUP BY src, dst)"""
 
-_CANON = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({0})), '\s+', ' ', 'g'), '\([^)]*\)', '', 'g'), '[^a-z0-9\s\-]', '', 'g'), '-', ' ', 'g')), '^(the|a|an)\s+', ''), '\s+', ' ', 'g'))"
+_CANON = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({0})), '\s+', ' ', 'g'), '\s*\([^)]*\)\s*', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\-]', '', 'g'), '-', ' ', 'g')), '^(the|a|an)\s+', ''), '\s+', ' ', 'g'))"
+
+_TOKENS_SQL = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: NOT list_contains(string_split('a an and are as at be by for from has have in is it its of on or that the then this to was were which with', ' '), w))"
+_ESCAPED_SQL = "replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '&', '\\&'), '%', '\\%'), '#', '\\#'), '_', '\\_'), '{{', '\\{{'), '}}', '\\}}'), '~', '\\textasciitilde{{}}'), '^', '\\textasciicircum{{}}')"
+_AUTHORS_SQL = "array_to_string(list_transform(authors, lambda a: CASE WHEN contains(a, ',') THEN a ELSE regexp_replace(trim(a), '^(.*)[ ]+([^ ]+)$', '\\2, \\1') END), ' and ')"
+_KEY_SQL = "coalesce(regexp_replace(lower(CASE WHEN contains(authors[1], ',') THEN split_part(authors[1], ',', 1) ELSE split_part(trim(authors[1]), ' ', -1) END), '[^a-z]', '', 'g'), 'unknown') || coalesce(CAST(year AS VARCHAR), '0000') || coalesce(" + _TOKENS_SQL.format("coalesce(title, '')") + "[1], 'untitled')"
+_TRIGRAMS_SQL = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _bibtex_sql(kind: str, more: dict[str, str]) -> str:
+    fields = {"author": _ESCAPED_SQL.format(_AUTHORS_SQL), "title": _ESCAPED_SQL.format("coalesce(title, '')"), "year": "CAST(year AS VARCHAR)"} | more
+    lines = ", ".join(f"CASE WHEN {v} <> '' THEN '  {n} = {{' || {v} || '}}' END" for n, v in fields.items())
+    return f"'@' || {kind} || '{{' || {_KEY_SQL} || ',' || chr(10) || concat_ws(',' || chr(10), {lines}) || chr(10) || '}}'"
+
+
+_COPIES_SQL = """c AS (SELECT doc_id AS id, lang AS source_id, sha256(text) AS content_hash, CASE WHEN doc_id % 3 > 0 THEN n_chars % 5 END AS page_start, created_at, domain_id FROM documents),
+    m AS (SELECT id, first(id) OVER (PARTITION BY source_id, lower(content_hash) ORDER BY page_start NULLS LAST, created_at NULLS FIRST, id) AS n FROM c WHERE content_hash IS NOT NULL)"""
 
 ORACLE = {
     "insert_new_customers": "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0",
@@ -336,9 +365,10 @@ ORACLE = {
     "delete_cascade": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "page_of_chunks": f"WITH {CHUNKS_SQL} SELECT id, created_at FROM c ORDER BY created_at DESC, id LIMIT 25 OFFSET 50",
     "merged_metadata": "SELECT id, metadata ->> '$.extraction_method' AS extraction_method, '0' AS total_pages, 'yes' AS checked FROM sources",
-    "duplicate_chunks": f"WITH {CHUNKS_SQL} SELECT id AS old, n AS new FROM (SELECT id, first(id) OVER (PARTITION BY source_id, lower(content_hash) ORDER BY page_start NULLS LAST, created_at, id) AS n FROM c WHERE content_hash IS NOT NULL) WHERE id <> n",
-    "duplicate_groups": f"WITH {CHUNKS_SQL} SELECT source_id, lower(content_hash) AS hash, count(*) AS n FROM c WHERE content_hash IS NOT NULL GROUP BY ALL HAVING n > 1 ORDER BY n DESC, source_id, hash LIMIT 15",
-    "duplicates_removed": f"WITH {CHUNKS_SQL}, d AS (SELECT id, CASE WHEN content_hash IS NULL THEN id ELSE first(id) OVER (PARTITION BY source_id, lower(content_hash) ORDER BY page_start NULLS LAST, created_at, id) END AS n, domain_id FROM c) SELECT count(DISTINCT n) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT n, domain_id FROM d)) AS links FROM d",
+    "duplicate_chunks": f"WITH {_COPIES_SQL} SELECT id AS old, n AS new FROM m WHERE id <> n",
+    "duplicate_groups": f"WITH {_COPIES_SQL} SELECT source_id, lower(content_hash) AS hash, count(*) AS n FROM c WHERE content_hash IS NOT NULL GROUP BY ALL HAVING n > 1 ORDER BY n DESC, source_id NULLS FIRST, hash LIMIT 15",
+    "duplicate_evidence": f"WITH {_COPIES_SQL} SELECT c.source_id, array_to_string(list_sort(list(DISTINCT coalesce(n, c.id))), ',') AS evidence FROM c LEFT JOIN m ON m.id = c.id GROUP BY 1",
+    "duplicates_removed": f"WITH {_COPIES_SQL}, d AS (SELECT coalesce(n, c.id) AS n, domain_id FROM c LEFT JOIN m ON m.id = c.id) SELECT count(DISTINCT n) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT n, domain_id FROM d)) AS links FROM d",
     "new_or_known": "WITH k AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey < 5), f AS (SELECT p_partkey AS position, p_name AS canonical, min(p_partkey) OVER (PARTITION BY p_name) AS first FROM part) SELECT position, canonical, name IS NULL AND position = first AS is_new, CASE WHEN name IS NULL THEN first ELSE -1 END AS match FROM f LEFT JOIN k ON name = canonical",
     "plural_pairs": f"WITH {_NAMED_SQL}, t AS (SELECT id AS gone, 0 AS r, regexp_replace(canonical_name, 's$', '') AS s FROM nm WHERE canonical_name LIKE '%s' UNION ALL SELECT id, 1, regexp_replace(canonical_name, 'es$', '') FROM nm WHERE canonical_name LIKE '%es' UNION ALL SELECT id, 2, regexp_replace(canonical_name, 'ses$', 'sis') FROM nm WHERE canonical_name LIKE '%ses' UNION ALL SELECT id, 3, regexp_replace(canonical_name, 'ices$', 'ix') FROM nm WHERE canonical_name LIKE '%ices') SELECT gone, first(id ORDER BY r, id) AS keep FROM t JOIN nm ON s = canonical_name WHERE id <> gone GROUP BY gone",
     "hyphen_pairs": f"WITH {_NAMED_SQL} SELECT a.id AS gone, min(b.id) AS keep FROM nm a JOIN nm b ON replace(a.canonical_name, '-', ' ') = b.canonical_name WHERE a.canonical_name LIKE '%-%' GROUP BY a.id",
@@ -365,6 +395,12 @@ ORACLE = {
     "last_headings": f"WITH {CHUNKS_SQL} SELECT id, (SELECT h.location FROM c h WHERE h.source_id = x.source_id AND h.location LIKE 'Section%' AND h.page_start <= x.page_start ORDER BY h.page_start DESC, h.location DESC LIMIT 1) AS heading FROM c x WHERE page_start IS NOT NULL",
     "canonical_names": "SELECT DISTINCT ON (id) id, " + _CANON.format(r"regexp_replace(title, '[^\x20-\x7e]', '', 'g')") + " AS canonical FROM citations",
     "bibtex_keys": "SELECT id, regexp_replace(lower(CASE WHEN contains(authors[1], ',') THEN split_part(authors[1], ',', 1) ELSE split_part(trim(authors[1]), ' ', -1) END), '[^a-z]', '', 'g') || coalesce(CAST(year AS VARCHAR), '0000') || coalesce(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: NOT list_contains(string_split('a an and are as at be by for from has have in is it its of on or that the then this to was were which with', ' '), w))[1], 'untitled') AS key FROM sources WHERE authors IS NOT NULL",
+    "title_tokens": f"WITH {PAPERS_SQL} SELECT s2_paper_id AS id, array_to_string({_TOKENS_SQL.format('title')}, ' ') AS tokens, len({_TRIGRAMS_SQL}) AS n_trigrams, trim(regexp_replace(regexp_replace(replace(lower(title), '_', ' '), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS plain, substr(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9\\s\\-]', '', 'g')), '[\\s\\-]+', '_', 'g'), 1, 50) AS file, {_ESCAPED_SQL.format('title')} AS escaped, CASE WHEN length(title) > 40 THEN substr(title, 1, 37) || '...' ELSE title END AS short FROM p",
+    "title_overlap": f"WITH {PAPERS_SQL}, t AS (SELECT s2_paper_id AS id, list_distinct({_TOKENS_SQL.format('title')}) AS x, list_distinct({_TOKENS_SQL.format('abstract')}) AS y FROM p WHERE abstract IS NOT NULL) SELECT id, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(x || y)), 0), 0), 6) AS jaccard FROM t",
+    "source_bibliography": "SELECT id, " + _bibtex_sql("CASE source_type WHEN 'textbook' THEN 'book' WHEN 'paper' THEN 'article' ELSE 'misc' END", {k: f"(metadata ->> '$.{k}')" for k in ("publisher", "doi", "arxiv_id")}) + " AS bibtex FROM sources",
+    "citation_bibliography": "SELECT DISTINCT ON (id) id, " + _bibtex_sql("CASE WHEN venue IS NOT NULL THEN 'article' ELSE 'misc' END", {"journal": _ESCAPED_SQL.format("venue"), "doi": "doi", "eprint": "arxiv_id"}) + " AS bibtex FROM citations",
+    "page_texts": "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS t, generate_subscripts(string_split(text, chr(12)), 1) AS page FROM documents WHERE text IS NOT NULL) SELECT doc_id, page, length(array_to_string(list_filter(list_transform(string_split(replace(t, chr(0), ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10))) AS char_count FROM p",
+    "headings": f"WITH {CHUNKS_SQL}, b AS (SELECT source_id AS doc_id, page_start AS \"at\", location AS text, CAST(length(content) AS DOUBLE) AS size FROM c WHERE content IS NOT NULL AND location IS NOT NULL AND page_start IS NOT NULL), s AS (SELECT doc_id, quantile_cont(size, 0.5) AS m, stddev_samp(size) AS s FROM b GROUP BY 1 HAVING count(DISTINCT size) > 1) SELECT doc_id, \"at\", text, CASE WHEN size >= m + 2 * s THEN 1 WHEN size >= m + s THEN 2 ELSE 3 END AS level FROM b JOIN s USING (doc_id) WHERE size >= m + 0.5 * s AND length(trim(text)) BETWEEN 3 AND 100 AND len(string_split_regex(trim(text), '\\s+')) <= 15",
     "recognition_needed": f"WITH {CHUNKS_SQL} SELECT source_id AS doc_id, round(avg(length(trim(content, ' '))), 4) AS mean_chars, coalesce(avg(length(trim(content, ' '))) < 950, true) AS needs_ocr FROM c GROUP BY 1",
     "graph_assumptions": "WITH " + _ASSUMPTIONS.format("domain_id = 'd1'") + " SELECT method, assumption, name, importance, round(strength, 6) AS strength FROM g",
     "audited_assumptions": "WITH "
