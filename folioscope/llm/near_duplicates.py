@@ -144,12 +144,12 @@ def _classed(texts: DataFrame, width: int, least_words: int) -> tuple[DataFrame,
     return classed.join(heads.select("digest", "head"), "digest").select("id", "head").distinct(), heads.select("class", "head")
 
 
-def _posted(texts: DataFrame, heads: DataFrame, width: int, least_words: int, groups: int, orders: int) -> DataFrame:
-    """key and head of the classes that share a key with another."""
+def _posted(texts: DataFrame, width: int, least_words: int, groups: int, orders: int) -> DataFrame:
+    """key and class of the classes that share a key with another."""
     by = Window.partitionBy("key")
     posted = texts.mapInArrow(lambda it: _classes(it, width, least_words, groups, orders), "class bigint, key bigint")
     posted = posted.withColumn("least", F.min("class").over(by)).withColumn("most", F.max("class").over(by)).where("least < most").select("key", "class").distinct()
-    return materialize(posted.join(heads, "class").select("key", "head"), "posted")
+    return materialize(posted, "posted")
 
 
 def _token_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -221,8 +221,10 @@ def near_duplicate_classes(rows: DataFrame, threshold: float = 0.6, width: int =
     if exact:
         pairs = materialize(_prefix_pairs(texts, heads, threshold, width, 3), "candidates")
     else:
-        posted = _posted(texts, heads, width, least_words, groups, orders)
-        pairs = posted.withColumnRenamed("head", "a").join(posted.withColumnRenamed("head", "b"), "key").where("a < b").select("a", "b").distinct()
+        posted = _posted(texts, width, least_words, groups, orders)
+        pairs = posted.withColumnRenamed("class", "a").join(posted.withColumnRenamed("class", "b"), "key").where("a < b").select("a", "b").distinct()
+        named = heads.join(posted.select("class").distinct(), "class")
+        pairs = pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = materialize(pairs, "candidates")
     sets = _token_sets(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
     return members, materialize(_verified(pairs, sets, threshold), "links")
@@ -272,7 +274,8 @@ def near_duplicate_groups(rows: DataFrame, threshold: float = 0.6, width: int =
     """
     texts = _texts(rows)
     members, heads = _classed(texts, width, least_words)
-    posted = _posted(texts, heads, width, least_words, groups, orders)
+    posted = _posted(texts, width, least_words, groups, orders)
+    posted = materialize(posted.join(heads, "class").select("key", "head"), "posted", posted)
     sets = _token_sets(texts, posted.select(F.col("head").alias("id")).distinct(), width)
     labels = written = materialize(posted.select("head").distinct().withColumn("label", F.col("head")), "labels")
     few, turn, before = 4 * posted.count(), 0, float("inf")
