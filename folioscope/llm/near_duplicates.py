@@ -79,15 +79,15 @@ def _prefix_keys(sets: np.ndarray, sizes: np.ndarray, groups: int, orders: int)
     """
     starts = np.cumsum(sizes) - sizes
     keys = np.zeros((len(sizes), groups), np.uint64)
-    ranks, low = np.empty_like(sets), np.empty_like(sets)
+    # Tokens are hashes already: half of one, times an odd number of the order's own, ranks them.
+    tokens = (sets >> np.uint64(32)).astype(np.uint32)
+    odd = np.random.default_rng(5).integers(0, 1 << 32, groups * orders, np.uint32) | np.uint32(1)
+    ranks = np.empty_like(tokens)
     for g in range(groups):
         key = np.full(len(sizes), g, np.uint64)
         for o in range(g * orders, (g + 1) * orders):
-            np.multiply(sets, np.uint64((2 * o + 1) * 0xD6E8FEB86659FD93 % 2**64 | 1), out=ranks)
-            np.right_shift(ranks, np.uint64(31), out=low)
-            ranks ^= low
-            ranks *= _ODD[1]
-            key = _mix(key ^ np.minimum.reduceat(ranks, starts))
+            np.multiply(tokens, odd[o], out=ranks)
+            key = _mix(key ^ np.minimum.reduceat(ranks, starts).astype(np.uint64))
         keys[:, g] = key
     return keys
 
