@@ -69,7 +69,32 @@ def match_to_targets(citations: DataFrame, targets: DataFrame, threshold: float
     return citations.select("id").join(best, "id", "left").select("id", F.col("b.target_id").alias("target_id"), method.alias("method"))
 
 
-def match_simply(citations: DataFrame, targets: DataFrame) -> DataFrame:
+def contained_titles(citations: DataFrame, targets: DataFrame, size: int = 5) -> DataFrame:
+    """id and target_id of citations (id, title) whose title holds a target's or is held by it, in lower case; the least target of several.
+
+    A title within another has all its runs of ``size`` characters there, so
+    each title's rarest run is looked up among the others' runs and what meets is
+    compared. Titles of fewer characters hold and are held by none.
+    """
+
+    def runs(rows: DataFrame, name: str) -> DataFrame:
+        t = F.lower(F.trim("title"))
+        each = F.transform(F.sequence(F.lit(1), F.length("t") - (size - 1)), lambda i: F.substring("t", i, size))
+        rows = rows.where("title IS NOT NULL").select(F.col("id").alias(name), t.alias("t")).where(F.length("t") >= size)
+        return rows.select(name, F.col("t").alias(f"t_{name}"), F.explode(F.array_distinct(each)).alias("run"))
+
+    sides = {"a": materialize(runs(citations, "a"), "runs"), "b": materialize(runs(targets, "b"), "runs")}
+    counts = {k: v.groupBy("run").agg(F.count("*").alias("n")) for k, v in sides.items()}
+    met = None
+    for inner, outer in (("a", "b"), ("b", "a")):
+        # A run that the other side lacks proves that nothing there holds the title.
+        best = sides[inner].join(counts[outer], "run", "left").groupBy(inner, f"t_{inner}").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "run")).alias("r")).where("r.col1 > 0")
+        near = best.select(inner, f"t_{inner}", F.col("r.run").alias("run")).join(sides[outer], "run").where(F.contains(F.col(f"t_{outer}"), F.col(f"t_{inner}"))).select("a", "b")
+        met = near if met is None else met.unionByName(near)
+    return met.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("target_id"))
+
+
+def match_exactly(citations: DataFrame, targets: DataFrame) -> DataFrame:
     """id and target_id by DOI, arXiv id, or equal lower-case title and year."""
     title = F.concat_ws("|", F.lower(F.trim("title")), F.coalesce(F.col("year").cast("string"), F.lit("")))
     found = None
@@ -81,6 +106,14 @@ def match_simply(citations: DataFrame, targets: DataFrame) -> DataFrame:
     return citations.select("id").join(best, "id", "left").select("id", F.col("b.target_id").alias("target_id"))
 
 
+def match_simply(citations: DataFrame, targets: DataFrame) -> DataFrame:
+    """As match_exactly; then, of what is left, by a title that holds the other (see contained_titles)."""
+    best = materialize(match_exactly(citations, targets), "matched")
+    left = citations.select("id", "title").join(best.where("target_id IS NULL").select("id"), "id", "left_semi")
+    more = contained_titles(left, targets.select("id", "title")).withColumnRenamed("target_id", "held")
+    return best.join(more, "id", "left").select("id", F.coalesce("target_id", "held").alias("target_id"))
+
+
 def citation_edges(citations: DataFrame, matches: DataFrame) -> DataFrame:
     """citing, cited (null for a work outside) and citation_id, one edge for each citation."""
     return citations.select(F.col("id"), F.col("source_id").alias("citing")).join(matches, "id", "left").select("citing", F.col("target_id").alias("cited"), F.col("id").alias("citation_id"))
@@ -177,3 +210,9 @@ def bibtex_authors(authors: Column) -> Column:
     """Names as 'Last, First' joined by 'and'."""
     turned = F.transform(authors, lambda a: F.when(F.instr(a, ",") > 0, a).otherwise(F.regexp_replace(F.trim(a), r"^(.*)\s+(\S+)$", "$2, $1")))
     return F.array_join(turned, " and ")
+
+
+def coupling_score(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """shared and strength of two sources, in either order; no row where they aren't coupled."""
+    ends = F.array_sort(F.array("a", "b")) == F.array_sort(F.array(F.lit(one), F.lit(other)))
+    return pairs.where(ends).select("shared", "strength")

@@ -6,7 +6,8 @@ Similarities of search results are (1 + cosine) / 2. Ties always break by id.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -341,6 +342,24 @@ def similar_concepts(concepts: DataFrame, embedding: list[float], threshold: flo
     return rows.orderBy(F.desc("similarity"), "id").limit(limit).select("id", "similarity")
 
 
+def unified_concepts(concepts: DataFrame, text: str, embedding: list[float] | None = None, most: int = 5, least: float = 0.85) -> DataFrame:
+    """id and rank of the concepts that a query means: those it names (see query_concepts) first, then those whose vector has a cosine of at least ``least`` with its own, without repeats."""
+    named = query_concepts(concepts, concepts.sparkSession.createDataFrame([(text,)], "query string"), most).select("id", F.lit(0).alias("kind"), F.col("rank").cast("double").alias("at"))
+    if embedding is not None:
+        near = similar_concepts(concepts.select("id", "embedding"), embedding, (1 + least) / 2, most)
+        named = named.unionByName(near.select("id", F.lit(1).alias("kind"), (-F.col("similarity")).alias("at")))
+    best = named.groupBy("id").agg(F.min(F.struct("kind", "at")).alias("b")).orderBy("b", "id").limit(most)
+    return best.select("id", F.row_number().over(Window.orderBy("b", "id")).alias("rank"))
+
+
+def search_reranked(chunks: DataFrame, sources: DataFrame, query: SearchQuery, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best of five times as many hybrid results, at least 50, by the scores that ``scorer`` gives to their rows (id, content): a table (id, rerank_score)."""
+    wide = replace(query, limit=max(50, 5 * query.limit))
+    found = materialize(search_hybrid(chunks, sources, wide), "found")
+    texts = chunks.select("id", "content").join(found.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return reranked(found, scorer(texts), query.limit)
+
+
 def concept_search(concepts: DataFrame, text: str, limit: int = 50, concept_type: str | None = None) -> DataFrame:
     """Concepts by name: equal names 1, names that begin with the text 0.9, names that hold it 0.8, aliases that hold it 0.5."""
     t = text.lower()

@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folioscope.operators import citations, graph, search
+from folioscope.functions.text import shortened
+from folioscope.operators import audit, citations, graph, quality, search
+from folioscope.operators.lineage import materialize
 from folioscope.operators.statistics import table_counts
 from folioscope.operators.tables import page
 
@@ -27,6 +30,7 @@ class Corpus:
     concepts: DataFrame | None = None
     edges: DataFrame | None = None
     links: DataFrame | None = None
+    domains: DataFrame | None = None
 
     def search(self, text: str, embedding: list[float] | None = None, limit: int = 10, context: str = "balanced", source_type: str | None = None, domain_id: str | None = None, use_graph: bool = False, use_citations: bool = False, citation_weight: float = 0.15, graph_weight: float = 0.2, scoring: str = "weighted") -> DataFrame:
         """Search by text, and by vector, graph and citations as far as they are given; limits 1-50."""
@@ -94,6 +98,68 @@ class Corpus:
         ends = [graph.resolve(self.concepts, x).select("id").first() for x in (a, b)]
         return graph.shortest_path(self.edges, *[str(e["id"]) if e else "" for e in ends], hops)
 
+    def list_concepts(self, concept_type: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+        """Concepts by name, of a type if given; limits 1-1000."""
+        rows = self.concepts if concept_type is None else self.concepts.where(F.col("concept_type") == concept_type)
+        return page(rows, [F.col("canonical_name"), F.col("id")], int(clamped(limit, 1, 1000)), offset)
+
+    def concept(self, name: str, limit: int = 50) -> DataFrame:
+        """The concept of a name or id with its edges, the strongest first: id, name, other, type, strength, outgoing; one row without edges."""
+        met = graph.resolve(self.concepts, name).select("id", "name")
+        ends = self.edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", "strength", F.lit(True).alias("outgoing"))
+        ends = ends.unionByName(self.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", "strength", F.lit(False).alias("outgoing")))
+        return met.join(ends, "id", "left").orderBy(F.desc("strength"), "other", "type").limit(limit)
+
+    def chunks_of_concept(self, name: str, limit: int = 20) -> DataFrame:
+        """chunk_id, mention_type and relevance of the chunks that name a concept: definitions first, then the most relevant."""
+        met = graph.resolve(self.concepts, name).select(F.col("id").alias("concept_id"))
+        rank = F.when(F.col("mention_type") == "defines", 0).otherwise(1)
+        rows = self.links.join(met, "concept_id").select("chunk_id", "mention_type", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance"))
+        return rows.orderBy(rank, F.desc("relevance"), "chunk_id", "mention_type").limit(limit)
+
+    def cross_domain_concepts(self, name: str, links: DataFrame, least: float = 0.0) -> DataFrame:
+        """other, link_type and confidence of the links (a, b, link_type, confidence) between domains at a concept, from either side."""
+        met = graph.resolve(self.concepts, name).select("id")
+        both = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "link_type", "confidence").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other"), "link_type", "confidence"))
+        return both.join(met, "id").where(F.col("confidence") >= least).orderBy(F.desc("confidence"), "other").select("other", "link_type", "confidence")
+
+    def explain_connection(self, a: str, b: str, hops: int = 5, most: int = 2) -> DataFrame:
+        """step, name, type and the evidence (chunk_id, text, at most 300 characters) of a path between two concepts; steps without evidence have nulls."""
+        path = materialize(self.graph_path(a, b, hops), "path")
+        edges = self.edges if "evidence_chunk_ids" in self.edges.columns else self.edges.withColumn("evidence_chunk_ids", F.array().cast("array<string>"))
+        proof = graph.path_evidence(path, edges, self.links, most)
+        named = path.join(self.concepts.select(F.col("id").cast("string").alias("node"), "name"), "node", "left")
+        texts = self.chunks.select(F.col("id").cast("string").alias("chunk_id"), shortened("content", 300).alias("text"))
+        return named.join(proof.select("step", "chunk_id", "rank"), "step", "left").join(texts, "chunk_id", "left").select("step", "name", "type", "rank", "chunk_id", "text").orderBy("step", "rank")
+
+    def citation_network(self, source_id: str, limit: int = 100) -> DataFrame:
+        """direction (cites, cited_by), other and n of the works that a source cites and the sources that cite it."""
+        out = self.references.where((F.col("citing") == source_id) & F.col("cited").isNotNull()).groupBy(F.col("cited").alias("other")).agg(F.count("*").alias("n")).withColumn("direction", F.lit("cites"))
+        into = citations.citing(self.references, source_id, limit).select(F.col("citing").alias("other"), "n", F.lit("cited_by").alias("direction"))
+        return out.orderBy(F.desc("n"), "other").limit(limit).unionByName(into).select("direction", "other", "n")
+
+    def coupled_sources(self, source_id: str, limit: int = 10, least: float = 0.1) -> DataFrame:
+        """other, shared and strength of the sources that cite the same works."""
+        return citations.similar_sources(citations.coupling(self.references, least), source_id, limit)
+
+    def list_domains(self) -> DataFrame:
+        """Domains with the counts of their sources and chunks."""
+        counts = [t.groupBy(F.col("domain_id").alias("id")).agg(F.count_distinct("id").alias(n)) for n, t in (("sources", self.sources), ("chunks", self.chunks))]
+        return self.domains.select("id", "name").join(counts[0], "id", "left").join(counts[1], "id", "left").fillna(0, ["sources", "chunks"]).orderBy("id")
+
+    def assumptions(self, name: str) -> DataFrame:
+        """Assumptions that the graph gives for the method of a name."""
+        met = graph.resolve(self.concepts, name).select(F.col("id").alias("method"))
+        return audit.assumptions_in_graph(self.edges, self.concepts).join(met, "method").orderBy("importance", F.desc("strength"), "assumption")
+
+    def unlinked(self, samples: int = 5) -> DataFrame:
+        """concept_type, n and the least ``samples`` names of the concepts without edges."""
+        lost = quality.orphans(self.concepts, self.edges)
+        counts = lost.groupBy("concept_type").agg(F.count("*").alias("n"))
+        by = Window.partitionBy("concept_type").orderBy("name", "id")
+        first = lost.withColumn("k", F.row_number().over(by)).where(F.col("k") <= samples).groupBy("concept_type").agg(F.array_sort(F.collect_list("name")).alias("names"))
+        return counts.join(first, "concept_type", "left")
+
     def stats(self) -> DataFrame:
         tables = {"sources": self.sources, "chunks": self.chunks, "references": self.references, "concepts": self.concepts, "edges": self.edges, "links": self.links}
         return table_counts({k: t for k, t in tables.items() if t is not None})

@@ -69,3 +69,25 @@ def merged_json(old: Column, new: Column) -> Column:
 
 def _same(keys: list[str]) -> list[Column]:
     return [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+
+
+def by_values(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose ``column`` is one of a short list of values, which reaches the scan; none for an empty list."""
+    return rows.where(F.col(column).isin(list(values)))
+
+
+def by_metadata(rows: DataFrame, key: str, values: list[str], column: str = "metadata") -> DataFrame:
+    """Rows whose JSON ``column`` has one of the values under ``key``."""
+    return rows.where(F.get_json_object(column, f"$.{key}").isin(list(values)))
+
+
+def count_by(rows: DataFrame, key: str, column: str = "id") -> DataFrame:
+    """key and n, the distinct ``column`` values of each."""
+    return rows.groupBy(key).agg(F.count_distinct(column).alias("n"))
+
+
+def reconciled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """status (both, only_left, only_right) and n of the keys of two tables that should agree."""
+    one, two = left.select(key).distinct().withColumn("l", F.lit(True)), right.select(key).distinct().withColumn("r", F.lit(True))
+    status = F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").otherwise("both")
+    return one.join(two, key, "full").groupBy(status.alias("status")).agg(F.count("*").alias("n"))

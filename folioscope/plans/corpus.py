@@ -82,10 +82,10 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
 
 def references(spark: SparkSession, folder: str) -> DataFrame:
     """citing source and cited paper, by normal DOI, or title in lower case and year; null for works outside."""
-    from folioscope.operators.citations import citation_edges, match_simply
+    from folioscope.operators.citations import citation_edges, match_exactly
 
     c = citations(spark, folder)
-    return citation_edges(c, match_simply(normal_ids(c), papers(spark, folder)))
+    return citation_edges(c, match_exactly(normal_ids(c), papers(spark, folder)))
 
 
 def normal_ids(rows: DataFrame) -> DataFrame:

@@ -106,6 +106,15 @@ def _reach(starts: str, hops: int, arcs: str = _ARCS) -> str:
     return out + ", d AS (" + " UNION ALL ".join(f"SELECT start, node, {h} AS hops, weight FROM d{h}" for h in range(hops + 1)) + ")"
 
 
+_PATH_SQL = f"""{EDGES_SQL}, u AS (SELECT src, dst, type, {WEIGHT_SQL} AS w FROM (SELECT src, dst, type FROM e UNION ALL SELECT dst, src, type FROM e)),
+    a AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, last(type ORDER BY w, type) AS type, max(w) AS w FROM u GROUP BY ALL),
+    d0 AS (SELECT '1' AS node, 1.0::DOUBLE AS weight, ['1'] AS path)""" + "".join(
+    f""", d{h} AS (SELECT node, max(weight) AS weight, first(path ORDER BY weight DESC, path) AS path FROM (SELECT dst AS node, weight * w AS weight, list_append(path, dst) AS path FROM d{h - 1} JOIN a ON src = node)
+        WHERE node NOT IN ({" UNION ALL ".join(f"SELECT node FROM d{i}" for i in range(h))}) GROUP BY node)"""
+    for h in range(1, 4)
+) + """, f AS (SELECT path FROM (SELECT 1 AS h, path FROM d1 WHERE node = '100' UNION ALL SELECT 2, path FROM d2 WHERE node = '100' UNION ALL SELECT 3, path FROM d3 WHERE node = '100') ORDER BY h LIMIT 1),
+    s AS (SELECT unnest(range(len(path))) AS step, path FROM f),
+    x AS (SELECT step, path[step + 1] AS node, type FROM s LEFT JOIN a ON a.src = path[step] AND a.dst = path[step + 1])"""
 _S3 = "(1), (2), (3)"
 
 
@@ -123,6 +132,8 @@ ORACLE = {
     "graph_neighbourhood": f"WITH {_reach('(1)', 2)} SELECT node, hops FROM d WHERE hops > 0",
     "graph_neighbourhood_of_types": "WITH " + _reach("(1)", 2, "t AS (SELECT * FROM e WHERE type IN ('REQUIRES', 'USES')), " + _DIRECTED.replace("FROM e", "FROM t")) + " SELECT node, hops FROM d WHERE hops > 0",
     "graph_neighbourhood_edges": f"WITH {_reach('(1)', 1)} SELECT src, dst, type, round(strength, 6) AS strength FROM e WHERE src IN (SELECT node FROM d) AND dst IN (SELECT node FROM d)",
+    "graph_path": f"WITH {_PATH_SQL} SELECT step, node, type FROM x",
+    "graph_path_text": f"WITH {_PATH_SQL} SELECT string_agg(CASE WHEN type IS NULL THEN p_name ELSE '-> (' || lower(replace(type, '_', ' ')) || ') -> ' || p_name END, ' ' ORDER BY step) AS explanation FROM x JOIN part ON CAST(p_partkey AS VARCHAR) = node",
     "graph_path_length": f"WITH {_reach('(1)', 3)} SELECT hops, count(*) AS nodes FROM d GROUP BY hops",
     "related_concepts": f"""WITH {EDGES_SQL}, s AS (SELECT DISTINCT src, dst, type FROM e WHERE strength >= 0.95),
         h1 AS (SELECT dst AS node, 1 AS distance, min(type) AS path FROM s WHERE src = 1 AND dst <> 1 GROUP BY dst),

@@ -93,9 +93,8 @@ def search_fused_normalized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_reranked(spark: SparkSession, folder: str) -> DataFrame:
-    found = S.search_hybrid(*_parts(spark, folder), _query(limit=50))
-    scores = corpus.chunks(spark, folder).where("content IS NOT NULL").select("id", (F.length("content") / 100).alias("rerank_score"))
-    return S.reranked(found, scores, 10).select("id", "rank", "original_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    scorer = lambda rows: rows.where("content IS NOT NULL").select("id", (F.length("content") / 100).alias("rerank_score"))
+    return S.search_reranked(*_parts(spark, folder), _query(limit=10), scorer).select("id", "rank", "original_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def batch_vector_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,6 +120,12 @@ def query_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return S.query_concepts(names, queries)
 
 
+def unified_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("canonical_name"))
+    own = v.where("id = 7").select("embedding").first()[0]
+    return S.unified_concepts(v, "items like item 12 and item 7", list(own), 6, 0.3)
+
+
 def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return _rounded(S.similar_concepts(rows, VECTOR, 0.5, 25), ["similarity"], ["id"])
@@ -169,7 +174,7 @@ _FUSED = f"""WITH {_HYBRID},
     j AS (SELECT b.id, text_score, vector_score, coalesce(CAST(citation_authority AS DOUBLE), 0) AS citation_score FROM b LEFT JOIN sources s ON s.id = b.source_id),
     """
 
-QUERIES = {f.__name__: f for f in (search_text, search_text_inflected, search_indexed, search_expanded, search_expanded_hybrid, search_vector, search_vector_in_domain, search_hybrid, search_hybrid_of_type, search_hybrid_rrf, search_fused, search_fused_normalized, search_reranked, batch_vector_search, synonym_expansion, concept_search, query_concepts, similar_vectors, sound_embeddings)}
+QUERIES = {f.__name__: f for f in (search_text, search_text_inflected, search_indexed, search_expanded, search_expanded_hybrid, search_vector, search_vector_in_domain, search_hybrid, search_hybrid_of_type, search_hybrid_rrf, search_fused, search_fused_normalized, search_reranked, batch_vector_search, synonym_expansion, concept_search, query_concepts, unified_concepts, similar_vectors, sound_embeddings)}
 
 ORACLE = {
     "search_text": f"WITH {_text_sql()} " + _top("SELECT id, text_score AS s FROM t WHERE text_score > 0", "round(s, 6) AS combined_score"),
@@ -219,6 +224,11 @@ ORACLE = {
             UNION ALL SELECT query, id, 3, name FROM w JOIN n ON length(name) > 3 AND contains(t, name)),
         b AS (SELECT query, id, min(kind * 1000 - length(name)) AS o FROM k GROUP BY query, id)
         SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY o, id) AS rank FROM b QUALIFY rank <= 5""",
+    "unified_concepts": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE id = 7),
+        n AS (SELECT id, 0 AS kind, CAST(row_number() OVER (ORDER BY o, id) AS DOUBLE) AS at_ FROM (SELECT id, CASE WHEN id = 12 THEN 1000 ELSE 3000 END - length('item ' || id) AS o FROM v WHERE contains('items like item 12 and item 7', 'item ' || id)) QUALIFY row_number() OVER (ORDER BY o, id) <= 6),
+        s AS (SELECT id, 1 AS kind, -(1 + list_cosine_similarity(e, q)) / 2 AS at_ FROM v, q WHERE (1 + list_cosine_similarity(e, q)) / 2 >= 0.65 ORDER BY at_, id LIMIT 6),
+        b AS (SELECT id, min(kind) AS kind, arg_min(at_, kind) AS at_ FROM (FROM n UNION ALL FROM s) GROUP BY id)
+        SELECT id, row_number() OVER (ORDER BY kind, at_, id) AS rank FROM b QUALIFY rank <= 6""",
     "similar_vectors": f"SELECT vec_id AS id, round({_VECTOR_SCORE}, 6) AS similarity FROM embeddings WHERE {_VECTOR_SCORE} >= 0.5 ORDER BY {_VECTOR_SCORE} DESC, vec_id LIMIT 25",
     "sound_embeddings": f"WITH {CHUNKS_SQL} SELECT id, {_SOUND} AS sound, CASE WHEN {_SOUND} THEN round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda i: 1.0::DOUBLE)), 6) ELSE 0.0 END AS cosine FROM c",
 }

@@ -50,6 +50,31 @@ def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return T.delete_rows(table(spark, folder, "orders"), gone, {"o_custkey": "c_custkey"}).select("o_orderkey", "o_custkey")
 
 
+def chunks_of_sources(spark: SparkSession, folder: str) -> DataFrame:
+    first = [r[0] for r in table(spark, folder, "sources").select("id").orderBy("id").limit(3).collect()]
+    return T.by_values(corpus.chunks(spark, folder), "source_id", first).select("id", "source_id")
+
+
+def sources_by_method(spark: SparkSession, folder: str) -> DataFrame:
+    return T.by_metadata(table(spark, folder, "sources"), "extraction_method", ["grobid", "pymupdf"]).select("id")
+
+
+def chunks_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    return T.count_by(table(spark, folder, "chunks"), "source_id")
+
+
+def reconciled_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return T.reconciled(table(spark, folder, "sources"), table(spark, folder, "citations").withColumnRenamed("id", "citation").withColumnRenamed("source_id", "id"), "id")
+
+
+def parsed_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers as scholarly XML, which refers to its venue, parsed again."""
+    xml = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit('<div><head>Abstract</head><p>'), xml("abstract"), F.lit(' <ref target="#b0">1</ref></p></div>'))
+    tei = F.concat(F.lit("<TEI><teiHeader><titleStmt><title>"), xml("title"), F.lit("</title></titleStmt></teiHeader><text><body>"), body, F.lit('</body><back><listBibl><biblStruct xml:id="b0"><monogr><title>'), xml("venue"), F.lit("</title></monogr></biblStruct></listBibl></back></text></TEI>"))
+    return X.parse_tei(corpus.papers(spark, folder).select(F.col("s2_corpus_id").alias("doc_id"), tei.alias("tei"))).fillna("", ["details"])
+
+
 def page_of_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return T.page(corpus.chunks(spark, folder), [F.desc("created_at"), F.col("id")], 25, 50).select("id", "created_at")
 
@@ -316,7 +341,7 @@ def expected_edges(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        insert_new_customers, insert_counts, replace_customers, merge_customers, delete_cascade, page_of_chunks, merged_metadata,
+        insert_new_customers, insert_counts, replace_customers, merge_customers, delete_cascade, chunks_of_sources, sources_by_method, chunks_by_source, reconciled_sources, parsed_papers, page_of_chunks, merged_metadata,
         duplicate_chunks, duplicate_groups, duplicate_evidence, duplicates_removed, new_or_known, plural_pairs, hyphen_pairs, article_pairs, merge_chains, merged_edges, orphan_concepts, prunable_concepts, domain_links, chunk_domains,
         table_counts, sources_by_type, confidence_bands, citation_coverage, domain_statistics, log_statistics, queue_statistics, duration_percentiles, extraction_metrics, frequent_concepts,
         chunk_filter, filter_statistics, chunk_metrics, packed_chunks, sentences, headings, last_headings, canonical_names, title_tokens, title_overlap, bibtex_keys, source_bibliography, citation_bibliography, page_texts, recognition_needed,
@@ -363,6 +388,13 @@ ORACLE = {
     "replace_customers": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "merge_customers": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
     "delete_cascade": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "chunks_of_sources": f"WITH {CHUNKS_SQL} SELECT id, source_id FROM c WHERE source_id IN (SELECT id FROM sources ORDER BY id LIMIT 3)",
+    "sources_by_method": "SELECT id FROM sources WHERE metadata ->> '$.extraction_method' IN ('grobid', 'pymupdf')",
+    "chunks_by_source": "SELECT source_id, count(DISTINCT id) AS n FROM chunks GROUP BY 1",
+    "reconciled_sources": "SELECT CASE WHEN s.id IS NULL THEN 'only_right' WHEN c.id IS NULL THEN 'only_left' ELSE 'both' END AS status, count(*) AS n FROM (SELECT DISTINCT id FROM sources) s FULL JOIN (SELECT DISTINCT source_id AS id FROM citations) c ON s.id = c.id GROUP BY 1",
+    "parsed_papers": f"""WITH {PAPERS_SQL}, t AS (SELECT s2_corpus_id AS doc_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, trim(regexp_replace(abstract || ' 1', '\\s+', ' ', 'g')) AS abstract, trim(regexp_replace(venue, '\\s+', ' ', 'g')) AS venue FROM p WHERE abstract IS NOT NULL AND title IS NOT NULL AND venue IS NOT NULL)
+        SELECT doc_id, 'title' AS kind, 0 AS n, title AS text, '' AS details FROM t UNION ALL SELECT doc_id, 'section', 0, abstract, 'Abstract' FROM t
+        UNION ALL SELECT doc_id, 'context', 0, abstract, 'b0' FROM t UNION ALL SELECT doc_id, 'citation', 0, venue, '' FROM t""",
     "page_of_chunks": f"WITH {CHUNKS_SQL} SELECT id, created_at FROM c ORDER BY created_at DESC, id LIMIT 25 OFFSET 50",
     "merged_metadata": "SELECT id, metadata ->> '$.extraction_method' AS extraction_method, '0' AS total_pages, 'yes' AS checked FROM sources",
     "duplicate_chunks": f"WITH {_COPIES_SQL} SELECT id AS old, n AS new FROM m WHERE id <> n",

@@ -22,6 +22,10 @@ def citation_edges(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.references(spark, folder)
 
 
+def simple_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return C.match_simply(corpus.normal_ids(corpus.citations(spark, folder)), corpus.papers(spark, folder))
+
+
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
     rows = C.pagerank(corpus.concepts(spark, folder), corpus.edges(spark, folder))
     return rows.select("id", F.round("authority", 6).alias("authority"))
@@ -131,9 +135,14 @@ def cache_entries(spark: SparkSession, folder: str) -> DataFrame:
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _JACCARD = "len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))"
 
+_SIMPLE_SQL = f"""WITH {REFERENCES_SQL},
+    h AS (SELECT c.id, min(s2_paper_id) AS held FROM c JOIN p ON contains(lower(trim(p.title)), lower(trim(c.title))) OR contains(lower(trim(c.title)), lower(trim(p.title)))
+        WHERE c.id NOT IN (SELECT id FROM b) AND length(trim(c.title)) >= 5 AND length(trim(p.title)) >= 5 GROUP BY c.id)
+    SELECT c.id, coalesce(cited, held) AS target_id FROM c LEFT JOIN b ON b.id = c.id LEFT JOIN h ON h.id = c.id"""
+
 QUERIES = {
     f.__name__: f
-    for f in (citation_matches, citation_edges, pagerank, source_coupling, similar_sources, coupling_statistics, source_statistics, citation_kinds, corpus_summary, most_cited, citing_sources, near_titles, current_papers, filtered_papers, topic_papers, papers_not_cited, normalised_rank, cited_walk, queue_next, queue_after_failures, queue_retried, queue_without_old, cache_entries)
+    for f in (citation_matches, citation_edges, simple_matches, pagerank, source_coupling, similar_sources, coupling_statistics, source_statistics, citation_kinds, corpus_summary, most_cited, citing_sources, near_titles, current_papers, filtered_papers, topic_papers, papers_not_cited, normalised_rank, cited_walk, queue_next, queue_after_failures, queue_retried, queue_without_old, cache_entries)
 }
 
 _PAIRS = f"""WITH {REFERENCES_SQL},
@@ -143,6 +152,7 @@ _PAIRS = f"""WITH {REFERENCES_SQL},
     s AS (SELECT a, b, shared, shared / (u.n + v.n - shared) AS strength FROM o JOIN n u ON u.citing = a JOIN n v ON v.citing = b)"""
 
 ORACLE = {
+    "simple_matches": _SIMPLE_SQL,
     "citation_matches": f"""WITH {REFERENCES_SQL},
         x AS (SELECT id, year, {_TRIGRAMS.format("title")} AS x FROM c WHERE title IS NOT NULL), y AS (SELECT s2_paper_id, year, {_TRIGRAMS.format("title")} AS y FROM p),
         t AS (SELECT id, s2_paper_id, {_JACCARD} AS j FROM x JOIN y ON x.year IS NULL OR y.year IS NULL OR x.year = y.year WHERE {_JACCARD} >= 0.85 - 1e-9),

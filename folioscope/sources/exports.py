@@ -73,7 +73,10 @@ def results_as_json(results: DataFrame) -> DataFrame:
 
 
 def parse_tei(documents: DataFrame) -> DataFrame:
-    """doc_id, kind (title, section, citation), n, text and details of scholarly XML (doc_id, tei); a document that is no XML gives one row of kind error."""
+    """doc_id, kind (title, section, citation, context), n, text and details of scholarly XML (doc_id, tei); a document that is no XML gives one row of kind error.
+
+    A context is a paragraph that refers to a citation: n is that of the citation, details its xml:id; repeats count once.
+    """
 
     def name(e: ET.Element) -> str:
         return e.tag.rpartition("}")[2]
@@ -96,7 +99,12 @@ def parse_tei(documents: DataFrame) -> DataFrame:
             for n, div in enumerate(found(body, "div")):
                 head = next((x for x in div if name(x) == "head"), None)
                 yield key, "section", n, " ".join(text(p) for p in div if name(p) == "p"), text(head) or None
-        for n, bibl in enumerate(x for b in found(root, "listBibl") for x in found(b, "biblStruct")):
+        listed = [x for b in found(root, "listBibl") for x in found(b, "biblStruct")]
+        at = {v: n for n, x in enumerate(listed) for k, v in x.attrib.items() if k.rpartition("}")[2] == "id"}
+        contexts = {(at[r.get("target")[1:]], text(p), r.get("target")[1:]): None for body in found(root, "body") for p in found(body, "p") for r in found(p, "ref") if r.get("target", "")[1:] in at}
+        for n, words, target in contexts:
+            yield key, "context", n, words, target
+        for n, bibl in enumerate(listed):
             titles = found(bibl, "title")
             if titles and text(titles[0]):
                 when = next((d.get("when") for d in found(bibl, "date") if d.get("when")), None)

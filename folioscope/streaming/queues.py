@@ -28,6 +28,17 @@ def first_seen(events: DataFrame, key: str, time: str, late: str = "7 days") ->
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def settled(stream: DataFrame, folder: str) -> DataFrame:
+    """The result over all rows that a stream's source has now, as a table in ``folder``; a later call goes on from there with what is new."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
+
+
 def latest_status(spark: SparkSession, changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Keeps in ``folder`` a table of the latest status (id, status, at) of each item, one version for each batch; a replayed batch writes its version anew."""
 

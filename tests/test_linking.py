@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import audit, enrichment, extraction, quality, search, statistics
+from folioscope.operators import audit, citations, enrichment, extraction, quality, search, statistics
 from folioscope.operators.services import Corpus, clamped
 from folioscope.plans import catalog
 from folioscope.sources import exports
@@ -166,3 +166,30 @@ def test_best_names_match_brute_force(spark: SparkSession) -> None:
     scored = forms.join(returned, "group").select("group", "expected", "name", enrichment.fuzzy_score(F.col("form"), F.col("name")).alias("score"))
     best = scored.groupBy("group", "expected").agg(F.max(F.struct("score", "name")).alias("b")).where("b.score >= 0.5").select("group", "expected", "b.name", "b.score")
     assert {tuple(r) for r in enrichment.best_names(expected, returned, 0.5).collect()} == {tuple(r) for r in best.collect()}
+
+
+def test_titles_within_one_another(spark: SparkSession) -> None:
+    kind = "id string, doi string, arxiv_id string, title string, year int"
+    papers = spark.createDataFrame([("p1", None, None, "Sparse panels: a study of effects", 2000), ("p2", None, None, "Trees", 2001), ("p3", None, None, None, None)], kind)
+    cited = spark.createDataFrame([("c1", None, None, "SPARSE PANELS", 1990), ("c2", None, None, "All about trees and more", None), ("c3", None, None, "Trees", 2001), ("c4", None, None, "else", 1), ("c5", None, None, None, None)], kind)
+    got = {r.id: r.target_id for r in citations.match_simply(cited, papers).collect()}
+    assert got == {"c1": "p1", "c2": "p2", "c3": "p2", "c4": None, "c5": None}
+    assert {r.target_id for r in citations.match_simply(cited, papers.limit(0)).collect()} == {None}
+
+
+def test_more_calls(spark: SparkSession, little: Corpus) -> None:
+    assert [r.id for r in little.list_concepts().collect()] == ["k1", "k2"]
+    assert [(r.other, r.outgoing) for r in little.concept("panels").collect()] == [("k2", True)]
+    assert [r.chunk_id for r in little.chunks_of_concept("panels").collect()] == ["c1"]
+    assert {(r.direction, r.other) for r in little.citation_network("s1").collect()} == {("cites", "w")}
+    found = little.explain_connection("panels", "trees").collect()
+    assert [(r.name, r.type, r.chunk_id) for r in found] == [("Panels", None, "c1"), ("Trees", "USES", None)]
+    links = spark.createDataFrame([("k2", "k1", "ANALOGOUS", 0.9)], "a string, b string, link_type string, confidence double")
+    assert [r.other for r in little.cross_domain_concepts("panels", links, 0.5).collect()] == ["k2"]
+
+
+def test_evidence_moves_with_duplicates(spark: SparkSession) -> None:
+    edges = spark.createDataFrame([("e1", ["a", "b", "c"]), ("e2", None), ("e3", [])], "id string, evidence array<string>")
+    mapping = spark.createDataFrame([("b", "a")], "old string, new string")
+    got = {r.id: r.evidence for r in quality.repointed_evidence(edges, mapping, "evidence").collect()}
+    assert got == {"e1": ["a", "c"], "e2": None, "e3": []}
