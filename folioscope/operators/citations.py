@@ -7,39 +7,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.functions.text import jaccard, trigrams
 from folioscope.operators.lineage import materialize
+from folioscope.operators.similar_texts import plain, similar_texts
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
     """a, b and similarity of rows (id, text) whose trigram sets have a Jaccard coefficient of at least ``threshold``.
 
-    Exact by prefix filtering: a pair shares one of the rarest trigrams of
-    each, so only those prefixes are joined, and sets of too different size are
-    left out before they are compared, as are those whose shared prefix and rest
-    can't reach the threshold. ``ordered`` keeps a < b of a self-join.
+    Exact: see similar_texts. Rows of equal texts are one text until the last
+    join. ``ordered`` keeps a < b of a self-join. Where both sides have a
+    ``year``, pairs of two different years are left out.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
 
-    def sets(rows: DataFrame) -> DataFrame:
-        return rows.where("text IS NOT NULL").select("id", trigrams("text").alias("grams")).where(F.size("grams") > 0)
-
-    a, b = materialize(sets(left), "left"), materialize(sets(right), "right")
-    grams = a.select(F.explode("grams").alias("g")).unionByName(b.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
-
-    def prefix(rows: DataFrame, name: str) -> DataFrame:
-        each = rows.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(grams, "g")
-        by = Window.partitionBy("id").orderBy("df", "g")
-        rank = each.withColumn("at", F.row_number().over(by)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-        return rank.select("g", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("at").alias(f"at_{name}"))
-
-    met = prefix(a, "a").join(prefix(b, "b"), "g").where((F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9))
-    if ordered:
-        met = met.where("a < b")
-    pairs = _still_possible(met, threshold)
-    both = pairs.select("a", "b").join(a.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(b.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    years = ["year"] if "year" in left.columns and "year" in right.columns else []
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.select("id", plain("text").alias("plain"), *years).where("plain <> ''")
+
+    own = ordered and left is right and not years
+    a = materialize(texts(left), "left")
+    b = a if own else materialize(texts(right), "right")
+    pairs = similar_texts(a, None if own else b, threshold)
+    x, y = (rows.select(F.col("id").alias(n), F.col("plain").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in years]) for rows, n, t in ((a, "a", "x"), (b, "b", "y")))
+    found = pairs.join(x, "x").join(y, "y")
+    if years:
+        found = found.where("year_x IS NULL OR year_y IS NULL OR year_x = year_y")
+    if own:
+        found = found.where("a < b OR x <> y AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    elif ordered:
+        found = found.where("a < b")
+    return found.select("a", "b", "similarity")
 
 
 def _still_possible(met: DataFrame, threshold: float) -> DataFrame:

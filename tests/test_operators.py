@@ -5,13 +5,13 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import stems
 from folioscope.functions.text import bibtex_escaped, canonical_name, jaccard, trigrams
 from folioscope.functions.vectors import cosine, is_sound
-from folioscope.operators import citations, discovery, evaluation, graph, passages, quality, search, tables
+from folioscope.operators import citations, discovery, evaluation, graph, passages, quality, search, similar_texts, tables
 from folioscope.operators.lineage import materialize
 from folioscope.sources import exports
 from folioscope.streaming import queues
@@ -238,3 +238,30 @@ def test_text_index_and_expansion(spark: SparkSession) -> None:
     assert more == ["kernel", "panel"]
     found = [r.id for r in search.search_expanded(rows, search.SearchQuery("a regression"), more).collect()]
     assert set(found) == {"a", "b", "c"} and found[-1] == "c"
+
+
+def test_similar_texts_are_not_written_before_they_pass(spark: SparkSession) -> None:
+    """Texts of one frame, no two of which are alike: what is written between must not grow as their pairs."""
+    a, b, c = (["".join(chr(97 + (k * s + j * j) % 26) for j in range(9)) for k in range(12)] for s in (5, 7, 11))
+    texts = [f"on {x} and {y} in {z}" for x in a for y in b for z in c]
+    rows = spark.createDataFrame(list(enumerate(texts[::2] + texts[:3] + ["", None])), "id int, text string")
+    written, write = [], similar_texts.materialize
+
+    def counted(df: DataFrame, *rest: object) -> DataFrame:
+        out = write(df, *rest)
+        written.append(out.count())
+        return out
+
+    similar_texts.materialize = counted
+    try:
+        got = set(values(citations.trigram_pairs(rows, rows, 0.95, ordered=True), "a", "b"))
+    finally:
+        similar_texts.materialize = write
+
+    def grams(t: str) -> set[str]:
+        return {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+
+    sets = [grams(t) for t in texts[::2] + texts[:3]]
+    want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets[i + 1 :], i + 1) if len(s & t) / len(s | t) >= 0.95}
+    assert got == want
+    assert max(written) < 3 * len(sets)
