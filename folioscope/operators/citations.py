@@ -59,9 +59,10 @@ def match_to_targets(citations: DataFrame, targets: DataFrame, threshold: float
         key = F.lower(F.trim(column))
         ids = targets.where(F.col(column).isNotNull()).groupBy(key.alias("key")).agg(F.min("id").alias("target_id"))
         by_id.append(citations.where(F.col(column).isNotNull()).select("id", key.alias("key")).join(ids, "key").select("id", "target_id", F.lit(k).alias("rank"), F.lit(1.0).alias("similarity")))
-    pairs = trigram_pairs(citations.select("id", F.col("title").alias("text")), targets.select("id", F.col("title").alias("text")), threshold)
-    years = pairs.join(citations.select(F.col("id").alias("a"), F.col("year").alias("y")), "a").join(targets.select(F.col("id").alias("b"), F.col("year").alias("z")), "b")
-    by_title = years.where("y IS NULL OR z IS NULL OR y = z").select(F.col("a").alias("id"), F.col("b").alias("target_id"), F.lit(2).alias("rank"), "similarity")
+    # Of targets with one title and year the least id would be taken anyway.
+    least = targets.groupBy(F.col("title").alias("text"), "year").agg(F.min("id").alias("id"))
+    pairs = trigram_pairs(citations.select("id", F.col("title").alias("text"), "year"), least, threshold)
+    by_title = pairs.select(F.col("a").alias("id"), F.col("b").alias("target_id"), F.lit(2).alias("rank"), "similarity")
     found = by_id[0].unionByName(by_id[1]).unionByName(by_title)
     best = found.groupBy("id").agg(F.min(F.struct("rank", -F.col("similarity"), "target_id")).alias("b"))
     method = F.when(F.col("b.target_id").isNotNull(), F.element_at(F.array(F.lit("doi"), F.lit("arxiv"), F.lit("title")), F.col("b.rank") + 1))

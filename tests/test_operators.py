@@ -265,3 +265,19 @@ def test_similar_texts_are_not_written_before_they_pass(spark: SparkSession) ->
     want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets[i + 1 :], i + 1) if len(s & t) / len(s | t) >= 0.95}
     assert got == want
     assert max(written) < 3 * len(sets)
+
+
+def test_titles_meet_within_years(spark: SparkSession) -> None:
+    """Only pairs of one year, or of an unknown one, are compared; of equal targets the least counts."""
+    kind = "id string, doi string, arxiv_id string, title string, year int"
+    name = "Robust panels with sparse local effects in lagged trials"
+    cited = [("c1", None, None, name, 2000), ("c2", None, None, name + "s", None), ("c3", None, None, name, 1990), ("c4", None, None, "Other words", 2000)]
+    targets = [(f"p{k}", None, None, name, y) for k, y in enumerate((2001, 2000, 2000, None))]
+    seen, compared = [], similar_texts._near
+    similar_texts._near = lambda x, y, *rest: seen.append({r.key for r in x.select("key").collect()}) or compared(x, y, *rest)
+    try:
+        got = {r.id: r.target_id for r in citations.match_to_targets(spark.createDataFrame(cited, kind), spark.createDataFrame(targets, kind)).collect()}
+    finally:
+        similar_texts._near = compared
+    assert got == {"c1": "p1", "c2": "p0", "c3": "p3", "c4": None}
+    assert seen[0] == {1990, 2000}
