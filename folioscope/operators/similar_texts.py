@@ -99,9 +99,9 @@ def _compared(cell: pa.Table, threshold: float, mirrored: bool) -> pa.Table:
     return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64())})
 
 
-def _near(left: DataFrame, right: DataFrame, threshold: float, mirrored: bool) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, threshold: float, mirrored: bool, least: int = _GROUPS) -> DataFrame:
     """x and y of rows (key, c, n, bits) with equal keys that may be alike: all are compared, in cells of a grid."""
-    p, q = (max(_GROUPS, -(-rows.count() // _CELL)) for rows in (left, right))
+    p, q = (max(least, -(-rows.count() // _CELL)) for rows in (left, right))
 
     def dealt(rows: DataFrame, own: str, of: int, other: str, others: Column) -> DataFrame:
         return rows.withColumn(own, F.pmod("c", F.lit(of)).cast("int")).withColumn(other, F.explode(others)).select("key", "i", "j", F.lit(int(own == "i")).alias("side"), "c", "n", "bits")
@@ -110,7 +110,9 @@ def _near(left: DataFrame, right: DataFrame, threshold: float, mirrored: bool) -
         x, y = dealt(left, "i", p, "j", F.sequence("i", F.lit(p - 1))), dealt(right, "j", p, "i", F.sequence(F.lit(0), "j"))
     else:
         x, y = dealt(left, "i", p, "j", F.sequence(F.lit(0), F.lit(q - 1))), dealt(right, "j", q, "i", F.sequence(F.lit(0), F.lit(p - 1)))
-    return x.unionByName(y).groupBy("key", "i", "j").applyInArrow(lambda cell: _compared(cell, threshold, mirrored), "x bigint, y bigint")
+    # By number, as few bytes are much work here and would be put into one task.
+    tasks = max(p * q, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    return x.unionByName(y).repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(lambda cell: _compared(cell, threshold, mirrored), "x bigint, y bigint")
 
 
 def similar_texts(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
@@ -144,7 +146,7 @@ def similar_texts(left: DataFrame, right: DataFrame | None, threshold: float) ->
         near = _near(rows(left, 0), rows(right, 0), threshold, False)
     else:
         known = [side.where("year IS NOT NULL") for side in (left, right)]
-        near = _near(rows(known[0], "year"), rows(known[1], "year"), threshold, False)
+        near = _near(rows(known[0], "year"), rows(known[1], "year"), threshold, False, 1)
         near = near.unionByName(_near(rows(left.where("year IS NULL"), 0), rows(right, 0), threshold, False))
         near = near.unionByName(_near(rows(known[0], 0), rows(right.where("year IS NULL"), 0), threshold, False)).distinct()
     near = materialize(near, "near", packed)
